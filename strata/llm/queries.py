@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import decontaminate, licenses, mixing, quality_rules, secrets, simhash, tokens
+from strata.llm import decontaminate, langid, licenses, mixing, quality_bayes, quality_rules, secrets, simhash, tokens, toxicity
 from strata.llm.common import free_name, table
 
 
@@ -29,6 +29,25 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *map(count, secrets.BASE), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id"), 3, 1))
+    model = langid.train(docs.filter("not held_out"))
+    found = langid.identify(docs, model, into="language")
+    return found.select("doc_id", "held_out", "language.lang_pred", "language.score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.held_out(F.col("doc_id"), 4, 2))
+    labels = table(spark, sf_dir, "labels").filter(~langid.held_out(F.col("doc_id"), 4, 2))
+    model = toxicity.train(docs.filter("not held_out"), labels)
+    found = toxicity.score_texts(docs, model, into="score")
+    return found.select("doc_id", "held_out", "score").withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_bayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), into="hits")
@@ -73,6 +92,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_secrets, op5_decontamination, op7_tokens, op8_licenses, op9_simhash, op10_quality_rules)
+    f.__name__: f for f in (op1_mixing, op2_secrets, op3_language_id, op4_toxicity, op5_decontamination, op6_quality_classifier, op7_tokens, op8_licenses, op9_simhash, op10_quality_rules)
 }
 SQL: dict[str, str] = {}
