@@ -1,0 +1,179 @@
+"""Secrets, licenses, decontamination and quality rules against plain Python over whole texts."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+
+from strata.llm import decontaminate, licenses, quality_rules, secrets
+from strata.llm.queries import op2_secrets, op5_decontamination, op8_licenses, op10_quality_rules
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+class Folder:
+    """A folder of tables for the queries."""
+
+    def __init__(self, path):
+        self.path = str(path)
+
+    def put(self, name, df):
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}.parquet")
+        return self
+
+
+def base_spans(text):
+    out = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 8]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 16]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 32]
+    return [f"{k}:{s}:{e}" for s, _, k, e in sorted(out)]
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "clashing", "empty"])
+def test_secrets(spark, request, tmp_path, which):
+    df = request.getfixturevalue(which)
+    folder = Folder(tmp_path).put("documents", df)
+    found = Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in op2_secrets(spark, folder.path).collect())
+    want = Counter()
+    for r in df.collect():
+        spans = base_spans(r["text"] or "")
+        kinds = Counter(s.split(":")[0] for s in spans)
+        want[(r["doc_id"], kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(",".join(spans).encode()).hexdigest())] += 1
+    assert found == want
+
+
+def test_secrets_spans_of_the_method(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----"
+    df = spark.createDataFrame([(1, f"é {key} ghp_{'a1B2' * 9}")], "doc_id long, text string")
+    spans = [(x["kind"], x["start"], x["end"]) for x in secrets.scan_paths(df).first()["spans"]]
+    assert spans == [("private_key", 2, 2 + len(key)), ("github", 3 + len(key), 3 + len(key) + 40)]
+
+
+def test_ledger_scans_only_what_is_new(spark, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    first = spark.createDataFrame([("a", "x password=12345678"), ("b", "x password=12345678"), ("c", None)], "doc_id string, text string")
+    second = spark.createDataFrame([("a", "x password=12345678"), ("d", "token=abcdefghi"), ("e", "token=abcdefghi")], "doc_id string, text string")
+    assert secrets.scan_new(first, ledger).count() == 2
+    assert secrets.scan_new(second, ledger).count() == 3
+    assert spark.read.parquet(ledger).count() == 3  # one row a blob, whatever the paths
+    paths = {r["path"]: len(r["spans"]) for r in secrets.scan_paths(second, ledger).collect()}
+    assert paths == {"a": 1, "d": 1, "e": 1} and spark.read.parquet(ledger).count() == 3
+    rules = secrets.RULES[:1]
+    secrets.scan_new(second, ledger, rules=rules)
+    assert spark.read.parquet(ledger).groupBy("rules").count().count() == 2  # another rule version scans again
+
+
+def base_places(text):
+    words = WORD.findall(text.translate(LOWER))
+    at = {label: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()] for p, label in licenses.BASE_PHRASES}
+    every = sorted(i for v in at.values() for i in v)
+    return len(words), len(every), every[0] if every else None, every[-1] if every else None, ",".join(sorted(k for k, v in at.items() if v))
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "clashing", "empty"])
+def test_licenses(spark, request, tmp_path, which):
+    df = request.getfixturevalue(which)
+    folder = Folder(tmp_path).put("documents", df)
+    rows = op8_licenses(spark, folder.path).collect()
+    want = Counter((r["doc_id"], *base_places(r["text"] or "")) for r in df.collect())
+    assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in rows) == want
+    sets = [(label, set(licenses.tokens_of(t))) for t, label in licenses.TEMPLATES]
+    joined = Counter()
+    for r in df.collect():
+        labels = set(base_places(r["text"] or "")[4].split(",")) - {""}
+        for line in (r["text"] or "").split("\n"):
+            held = set(WORD.findall(line.translate(LOWER)))
+            labels |= {label for label, s in sets if len(s & held) >= licenses.THRESHOLD * len(s) - 1e-9}
+        joined[(r["doc_id"], ",".join(sorted(labels)))] += 1
+    assert Counter((r["doc_id"], r["labels"]) for r in rows) == joined
+    assert all(0 <= r["score"] <= 1 and (r["score"] > 0) == (r["labels"] != "") for r in rows)
+
+
+def windows(items, size=13):
+    for item, text in items:
+        words = WORD.findall((text or "").translate(LOWER))
+        n = min(size, len(words))
+        for i in range(len(words) - n + 1) if n else ():
+            yield item, words[i : i + n]
+
+
+def contamination(text, items):
+    words = WORD.findall((text or "").translate(LOWER))
+    hit, found = set(), set()
+    for item, w in windows(items):
+        for i in range(len(words) - len(w) + 1):
+            if words[i] == w[0] and words[i : i + len(w)] == w:
+                hit.update(range(i, i + len(w)))
+                found.add(item)
+    ids = ",".join(sorted(map(str, found)))
+    return len(words), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(words)
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "clashing", "empty"])
+def test_decontamination(spark, request, tmp_path, which):
+    df = request.getfixturevalue(which)
+    passage = "Alpha, beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
+    items = [(1, passage), (2, "license version"), (3, None), (4, ""), (10, "alpha beta"), (11, "x x x")]
+    if which == "docs":
+        bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+        items = [(r["item_id"], r["text"]) for r in bench.collect()]
+    else:
+        bench = spark.createDataFrame(items, "item_id long, text string")
+    folder = Folder(tmp_path).put("documents", df).put("benchmark", bench)
+    want = Counter((r["doc_id"], *contamination(r["text"], items)) for r in df.collect())
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert Counter(tuple(r[n] for n in names) for r in op5_decontamination(spark, folder.path).collect()) == want
+    # a benchmark too large for one automaton is scanned in parts, with the same result
+    if which != "docs":
+        parts = decontaminate.decontaminate(df, bench, into="h", max_words=10).select("doc_id", "h.*").collect()
+        assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], decontaminate.items_sha256(r["items"]), r["contaminated"]) for r in parts) == want
+
+
+def test_decontamination_spans(spark):
+    df = spark.createDataFrame([("É one TWO, three 😀 four",)], "text string")
+    bench = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    r = decontaminate.decontaminate(df, bench, into="h").first()
+    assert [r["text"][s["start"] : s["end"]] for s in r["h"]["spans"]] == ["TWO, three"]
+
+
+def quality_base(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    grams = Counter(zip(words, words[1:], words[2:]))
+    hit = {j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit), n < 50 or 100 * len(hit) > 50 * n
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "clashing", "empty"])
+def test_quality_rules(spark, request, tmp_path, which):
+    df = request.getfixturevalue(which)
+    folder = Folder(tmp_path).put("documents", df)
+    rows = op10_quality_rules(spark, folder.path).collect()
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert Counter(tuple(r[n] for n in names) for r in rows) == Counter((r["doc_id"], *quality_base(r["text"])) for r in df.collect())
+    assert not any(r["kept"] and r["base_failed"] for r in rows)
+    assert quality_rules.kept_documents(df).columns == df.columns
+
+
+def test_js_distance_by_definition():
+    import numpy as np
+
+    p, q = np.array([[3.0, 1, 0]]), np.array([1.0, 1, 2])
+    a, b = p[0] / 4, q / 4
+    m = (a + b) / 2
+    want = sum(x * np.log2(x / y) for x, y in zip(a, m) if x) / 2 + sum(x * np.log2(x / y) for x, y in zip(b, m) if x) / 2
+    assert abs(quality_rules.js_distance(p, q)[0] - np.sqrt(want)) < 1e-12
+
+
+def test_quality_keeps_good_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = quality_rules.quality_rules(docs, into="q").join(labels, "doc_id").select("quality", "q.kept", "q.base_failed").collect()
+    good = [r for r in rows if r["quality"] == 1 and not r["base_failed"]]
+    bad = [r for r in rows if r["quality"] == 0]
+    assert sum(r["kept"] for r in good) >= 0.995 * len(good)
+    assert sum(not r["kept"] for r in bad) >= 0.7 * len(bad)
