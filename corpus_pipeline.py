@@ -7,12 +7,12 @@ docs; all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import decontaminate, mixing, quality_rules, simhash, tokens
-from strata.llm.common import column, free_name, new_path, table
+from strata.llm.common import free_name, new_path, table
 from strata.llm.queries import tokenizer_path
 
 #: The last stage returns where each document's ids lie; its order is iterative hashing and a tokenizer, beyond SQL.
@@ -40,14 +40,19 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, copy=copy, shuffle_key=key).drop(copy, key)
 
 
+def place(docs: DataFrame) -> Column:
+    """Where a row lies in its table's files, by file name and row; the order of Spark's reading for other frames."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    return F.concat_ws(":", F.col("_metadata.file_name"), F.lpad(F.col("_metadata.row_index").cast("string"), 20, "0"))
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in binary files, in the order of a hash of id and copy, so that copies lie apart."""
-    ident = F.coalesce(column(docs, "doc_id").cast("string"), F.lit(""))
-    copy, key = free_name(docs, "copy"), free_name(docs, "order_key")
-    # a document's copies are few: their number is a Poisson count
-    numbered = docs.withColumn(copy, F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id")))
-    numbered = numbered.withColumn(key, F.md5(F.concat_ws(":", F.lit(mixing.SEED), F.lit("order"), ident, F.col(copy).cast("string"))))
-    found = tokens.tokens(numbered, tokenizer_path(), order=F.col(key))
+    """Token ids in binary files, in the order in which the mixture was shuffled and written."""
+    key = free_name(docs, "order_key")
+    found = tokens.tokens(docs.select("*", place(docs).alias(key)), tokenizer_path(), order=F.col(key))
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
