@@ -245,7 +245,8 @@ def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # what goes, once for each id; an id of several rows has one row of the least among them and needs a second look
     counts = written(groups.groupBy("doc_id").agg(F.min("component_id").alias(name), F.count("*").alias("n")), "group")
     gone = counts.filter(F.col("doc_id") > F.col(name)).select(F.col("doc_id").alias(name))
-    kept = docs.join(gone, column(docs, doc_id) == gone[name], "left_anti")
+    # the ids that go grow with the input, so they are not broadcast
+    kept = docs.join(gone.hint("merge"), column(docs, doc_id) == gone[name], "left_anti")
     twice = counts.filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias(name))
     if not twice.head(1):
         return kept
