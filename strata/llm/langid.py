@@ -38,11 +38,15 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def sample(rows: DataFrame, key: Column, group: str, most: int, seed: int = 7) -> DataFrame:
-    """About ``most`` rows of each group (all of a smaller one), by a hash of the key; groups are counted first."""
-    counts = rows.groupBy(group).agg(F.count("*").alias("group_rows"))
-    chance = F.lit(float(most)) / F.col("group_rows")
+    """About ``most`` rows of each group (all of a smaller one), by a hash of the key, chosen where the rows lie.
+
+    Groups are counted first; they are few (languages up to a bound, or labels), so their chances are literals.
+    """
+    chance = F.lit(0.0)
+    for value, n in rows.groupBy(group).count().collect():
+        chance = F.when(F.col(group) == F.lit(value), F.lit(most / n)).otherwise(chance)
     u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.withColumn("sample_u", u).join(counts, group).filter(F.col("sample_u") < chance).drop("sample_u", "group_rows")
+    return rows.filter(u < chance)
 
 
 def refine(base: np.ndarray, counts: np.ndarray) -> np.ndarray:
