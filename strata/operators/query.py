@@ -45,6 +45,7 @@ class Query:
 
     def __init__(self, df: DataFrame, order: Order, state: str = INITIAL, strict: bool = False, strategy: str = "scalable"):
         self._df, self._order, self.state, self.strict, self.strategy = df, order, state, strict, strategy
+        self._skipped: tuple[Query, int] | None = None  # what skip was called on, and with which number
 
     # --- making and showing
 
@@ -149,11 +150,23 @@ class Query:
 
     @legal(INITIAL, FILTERED, SORTED)
     def take(self, n: int) -> Query:
-        return self._to(self._sorted().limit(whole(n)), self._order.settled(), FILTERED)
+        """The first n elements: a top-k, also straight after skip."""
+        before, skipped = self._skipped or (self, 0)
+        rows = before._sorted().limit(skipped + whole(n))
+        return self._to(rows.offset(skipped) if skipped else rows, self._order.settled(), FILTERED)
 
     @legal(INITIAL, FILTERED, SORTED)
     def skip(self, n: int) -> Query:
-        return self._to(self._sorted().offset(whole(n)), self._order.settled(), FILTERED)
+        """All but the first n elements, by position: an offset alone would bring all rows into one task."""
+        if self._df.isStreaming:
+            raise InvalidStateError("a stream has no order")
+        if whole(n) == 0:
+            return self._to(order=self._order.settled(), state=FILTERED)
+        at = f"{HIDDEN}p"
+        rows = dense_index(self._df, self._order.columns(), at, self.strategy)
+        out = self._to(rows.filter(F.col(at) >= n).drop(at), self._order.settled(), FILTERED)
+        out._skipped = (self, n)
+        return out
 
     # --- duplicates
 

@@ -35,18 +35,25 @@ def as_query(spark: SparkSession, source, schema: str | None = None, **options)
     if isinstance(source, pd.DataFrame):
         columns = list(source.columns)
         rows: Iterable = source.itertuples(index=False, name=None)
-        schema = schema or spark.createDataFrame(source.head(1)).schema.simpleString()[len("struct<") : -1]
+        if schema is None:  # pandas' types stay, for columns of nulls too
+            schema = spark.createDataFrame(source.head(1)).schema.simpleString()[len("struct<") : -1] if len(source) else None
     elif isinstance(source, (list, tuple, deque, set, frozenset)):
         columns, rows = None, sorted(source) if isinstance(source, (set, frozenset)) and options.pop("sorted", True) else list(source)
         options.pop("sorted", None)
     else:
         raise TypeMismatchError(f"no query from {type(source).__name__}")
-    many = [x if isinstance(x, (tuple, list)) else tuple(x.values()) if isinstance(x, dict) else (x,) for x in rows]
+    many = list(rows)
+    if many and isinstance(many[0], dict):
+        columns = list(dict.fromkeys(k for x in many for k in x))
+        many = [tuple(x.get(c) for c in columns) for x in many]
+    many = [(i, *x) if isinstance(x, (tuple, list)) else (i, x) for i, x in enumerate(many)]
     if schema is None:
         if not many:
             raise TypeMismatchError("an empty collection needs a schema")
-        names = columns or (["value"] if len(many[0]) == 1 else [f"_{i + 1}" for i in range(len(many[0]))])
-        schema = spark.createDataFrame(many[:1], names).schema.simpleString()[len("struct<") : -1]
-    df = spark.createDataFrame([(i, *x) for i, x in enumerate(many)], "__position: bigint, " + schema if ":" in schema else "__position bigint, " + schema)
+        width = len(many[0]) - 1
+        # types are those of all rows, so a null at the front does no harm
+        df = spark.createDataFrame(many, ["__position", *(map(str, columns) if columns else ["value"] if width == 1 else (f"_{i + 1}" for i in range(width)))])
+    else:
+        df = spark.createDataFrame(many, ("__position: bigint, " if ":" in schema else "__position bigint, ") + schema)
     query = Query.from_df(df, ["__position"], **options)
     return query._to(query._df.drop("__position"))
