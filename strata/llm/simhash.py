@@ -46,8 +46,9 @@ def fingerprint(hashes: np.ndarray) -> int:
     """Bit b is 1 if it is set in over half the hashes."""
     if not len(hashes):
         return 0
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    counts = sum(bits[i : i + 65536].sum(0, dtype=np.int64) for i in range(0, len(bits), 65536))
+    octets, counts = hashes.astype("<u8").view(np.uint8).reshape(-1, 8), np.zeros(BITS, np.int64)
+    for i in range(0, len(octets), 65536):  # bits take eight times the room of the hashes
+        counts += np.unpackbits(octets[i : i + 65536], axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
