@@ -28,7 +28,7 @@ RULES = (
     ("assign", r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
-    ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    ("private_key", r"-----BEGIN (?:[A-Z]+ ){0,4}PRIVATE KEY-----", 0, 1),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     ("google", r"AIza[A-Za-z0-9_-]{35}", 0, 39),

@@ -45,6 +45,15 @@ def test_secrets(spark, request, tmp_path, which):
     assert found == want
 
 
+def test_secrets_in_long_runs(spark):
+    """Long runs of what a rule repeats are scanned without deep recursion."""
+    key = "-----BEGIN RSA PRIVATE KEY-----"
+    texts = ["-----BEGIN " + "AB " * 60_000 + key, "AKIA" * 30_000, "abcdef0123" * 20_000, "password=" + "aB3/" * 30_000, "xoxb-" + "a-1" * 20_000, "eyJ" + "Q" * 60_000 + ".eyJ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {r["path"]: [(x["kind"], x["end"]) for x in r["spans"]] for r in secrets.scan_paths(df).collect()}
+    assert found == {0: [("private_key", len(texts[0]))], 1: [("access", 120_000)], 2: [("hex", 200_000)], 3: [("assign", len(texts[3]))], 4: [("slack", len(texts[4]))], 5: []}
+
+
 def test_secrets_spans_of_the_method(spark):
     key = "-----BEGIN RSA PRIVATE KEY-----"
     df = spark.createDataFrame([(1, f"é {key} ghp_{'a1B2' * 9}")], "doc_id long, text string")
