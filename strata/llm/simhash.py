@@ -5,9 +5,17 @@ only. Two fingerprints that differ in at most ``radius`` of 64 bits agree on at
 ``blocks`` blocks, so every link shows in a bucket of one choice of that many blocks. Each bucket is compared
 bit-sliced: plane p holds bit p of 64 neighbouring rows a word, a shift by d lines rows r and r + d up, and
 carry-save counters update 64 distances with a few bitwise operations. Words in which every distance has passed the
-radius are abandoned. A bucket of more than ``max_block`` rows is dealt out as pairs of its parts, so no task holds
-more than two parts, and each comparison returns a spanning forest of its rows instead of all pairs. Components of
-these links come from alternating large-star and small-star rounds over written tables.
+radius are abandoned, and so are those whose rows are joined already. A bucket of more than ``max_block`` rows is
+dealt out as pairs of its parts, so no task holds more than two parts, and each comparison returns a spanning forest
+of its rows instead of all pairs. Components of these links come from alternating large-star and small-star rounds
+over written tables.
+
+64 bits are too few to tell texts that share four fifths of their shingles from others, so ``similar_groups`` adds
+links of wide fingerprints: ``WIDE`` bits of the set of five-word shingles. Two sets of similarity s (Jaccard) have a
+cosine near 2s / (1 + s), and the share of differing bits estimates its angle. Texts link if that share is at most
+the one expected at ``similarity`` and ``margin`` standard errors more. Such links differ in too many bits for
+blocks that agree; they show in buckets of chosen bits, as many choices as make the chance to miss a pair of just
+that similarity ``MISS``.
 
 Defined results: a null text is an empty one and has fingerprint zero; zero links like any other fingerprint; rows
 with equal ``doc_id`` count one by one; a null ``doc_id`` never becomes a component's id unless all of its
@@ -17,6 +25,7 @@ component's are null; an empty table gives an empty result; other columns don't
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +37,8 @@ from pyspark.sql import functions as F
 from strata.llm.common import column, free_name, ready, remove, new_path, steps, utf8, written
 
 BITS, SEED = 64, 42
+#: Bits of a wide fingerprint, rows that a bucket of unrelated ones should have at most, and the chance to miss a link.
+WIDE, BUCKET, MISS = 512, 512, 0.02
 
 
 def shingle_hashes(text: bytes, words: int = 4) -> np.ndarray:
@@ -62,6 +73,54 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint",
     return docs.withColumn(into, F.pandas_udf(of, "long")(utf8(column(docs, text))))
 
 
+def wide_fingerprint(hashes: np.ndarray, bits: int = WIDE) -> bytes:
+    """Bit b is 1 if it is set in over half of the distinct hashes, each of which is mixed anew for every 64 bits."""
+    distinct, lanes = np.unique(hashes), bits // 64
+    if not len(distinct):
+        return bytes(bits // 8)
+    seeds = np.arange(1, lanes + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    low, counts = np.uint64(0x0101010101010101), np.zeros((lanes, 8, 8), np.int64)
+    for i in range(0, len(distinct), 65280):
+        x = distinct[None, i : i + 65280] + seeds  # the splitmix64 finaliser
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        at = np.arange(0, x.shape[1], 255)  # 255 rows add up in the octets of a word without a carry
+        for b in range(8):
+            sums = np.add.reduceat((x >> np.uint64(b)) & low, at, axis=1)
+            counts[:, :, b] += np.ascontiguousarray(sums).view(np.uint8).reshape(lanes, -1, 8).sum(1, dtype=np.int64)
+    return np.packbits(2 * counts.reshape(-1) > len(distinct), bitorder="little").tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, text: str = "text", into: str = "wide", words: int = 5) -> DataFrame:
+    """``docs`` with the wide fingerprint of its text as a binary column."""
+
+    def of(column: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(shingle_hashes(t, words)) for t in column.tolist()], dtype=object)
+
+    ready(docs.sparkSession)
+    return docs.withColumn(into, F.pandas_udf(of, "binary")(utf8(column(docs, text))))
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which sets of this similarity are expected to differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_radius(similarity: float = 0.8, margin: float = 1.5, bits: int = WIDE) -> int:
+    """The distance up to which wide fingerprints link."""
+    share = differing(similarity)
+    return round(bits * share + margin * math.sqrt(bits * share * (1 - share)))
+
+
+def bands(rows: int, similarity: float, bits: int = WIDE) -> np.ndarray:
+    """The bits of each choice; more rows need more bits for buckets of about ``BUCKET`` rows, and so more choices."""
+    size = max(8, (rows // BUCKET).bit_length())
+    count = math.ceil(math.log(MISS) / math.log1p(-((1 - differing(similarity)) ** size)))
+    random, each = np.random.default_rng(9), bits // size
+    return np.vstack([random.permutation(bits)[: each * size].reshape(each, size) for _ in range(-(-count // each))])[:count]
+
+
 def bucket_masks(rows: int, radius: int) -> list[int]:
     """Bit masks, one for each choice of blocks; enough blocks that a bucket of unrelated rows stays small."""
     blocks = next(b for b in range(radius + 2, 13) if (BITS * (b - radius)) // b >= min(48, rows.bit_length() - 1))
@@ -77,9 +136,9 @@ class Comparison:
 
     def __init__(self, rows: np.ndarray, radius: int):
         n, words = len(rows), -(-len(rows) // 64)
-        bits = np.unpackbits(rows.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        bits = np.vstack([bits, np.zeros((words * 64 - n, BITS), np.uint8)])
-        self.planes = np.zeros((BITS, words + 2), np.uint64)
+        bits = np.unpackbits(np.ascontiguousarray(rows.astype("<u8")).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+        bits = np.vstack([bits, np.zeros((words * 64 - n, bits.shape[1]), np.uint8)])
+        self.planes = np.zeros((bits.shape[1], words + 2), np.uint64)
         self.planes[:, :words] = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
         self.radius, self.n = radius, n
 
@@ -132,11 +191,14 @@ def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def forest(groups: np.ndarray, rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, root) that join all rows of equal group number within reach; groups are contiguous."""
+    """Links (place of a row, place of its root) that join all rows of equal group number within reach.
+
+    Groups are contiguous; a row is one 64-bit word or several.
+    """
     n = len(rows)
     labels = np.arange(n)
     if n < 2:
-        return rows[:0], rows[:0]
+        return labels[:0], labels[:0]
     edges = np.flatnonzero(np.diff(groups)) + 1
     starts, stops = np.concatenate([[0], edges]), np.concatenate([edges, [n]])
     last = np.repeat(stops, stops - starts)  # the end of each row's group
@@ -147,32 +209,63 @@ def forest(groups: np.ndarray, rows: np.ndarray, radius: int) -> tuple[np.ndarra
     deepest = lanes.max(1)
     items = np.repeat(np.arange(len(deepest)), deepest)
     offsets = np.arange(len(items)) - np.repeat(np.cumsum(deepest) - deepest, deepest) + 1
+    near_first = np.argsort(offsets, kind="stable")  # so that rows of one dense group are joined after a few shifts
+    items, offsets = items[near_first], offsets[near_first]
     for i in range(0, len(items), Comparison.STEP):
         word, shift = items[i : i + Comparison.STEP], offsets[i : i + Comparison.STEP]
-        valid = np.ascontiguousarray(np.packbits(lanes[word] >= shift[:, None], axis=1, bitorder="little")).view("<u8").ravel()
-        labels = joined(labels, *comparison.within(word, shift, valid))
+        row = np.minimum(word[:, None] * 64 + np.arange(64), n - 1)
+        open_ = (lanes[word] >= shift[:, None]) & (labels[row] != labels[np.minimum(row + shift[:, None], n - 1)])
+        some = open_.any(1)
+        valid = np.ascontiguousarray(np.packbits(open_[some], axis=1, bitorder="little")).view("<u8").ravel()
+        labels = joined(labels, *comparison.within(word[some], shift[some], valid))
     linked = np.flatnonzero(labels != np.arange(n))
-    return rows[linked], rows[labels[linked]]
+    return linked, labels[linked]
 
 
 def links(distinct: DataFrame, radius: int = 4, max_block: int = 2048) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of distinct fingerprints within the radius."""
+    """Links (a, b) whose components are those of all pairs of distinct fingerprints within the radius.
+
+    Where ``distinct`` has a column ``node``, links are between the nodes of the fingerprints.
+    """
     rows = distinct.count()
     masks = bucket_masks(rows, radius)
-    keys = distinct.select("fingerprint", F.posexplode(F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks))).alias("choice", "mask"))
-    keys = keys.select("choice", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("bits"), "fingerprint")
+    own = ["fingerprint"] if "node" not in distinct.columns else ["node", "fingerprint"]
+    keys = distinct.select(*own, F.posexplode(F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks))).alias("choice", "mask"))
+    keys = keys.select("choice", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("bits"), *own)
+    return bucket_links(keys, radius, max_block, rows * len(masks) // 2_000_000)
+
+
+def wide_links(distinct: DataFrame, similarity: float = 0.8, margin: float = 1.5, max_block: int = 4096) -> DataFrame:
+    """Links (a, b) between the nodes of distinct wide fingerprints, (node, wide), that are within the radius."""
+    rows = distinct.count()
+    chosen = bands(rows, similarity)
+    weights = 1 << np.arange(chosen.shape[1], dtype=np.int64)
+
+    def of(prints: pd.Series) -> pd.Series:
+        bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+        return pd.Series(list(np.column_stack([bits[:, c] @ weights for c in chosen])), dtype=object)
+
+    ready(distinct.sparkSession)
+    keys = distinct.select("node", "wide", F.posexplode(F.pandas_udf(of, "array<long>")("wide")).alias("choice", "bits"))
+    return bucket_links(keys.select("choice", "bits", "node", "wide"), wide_radius(similarity, margin), max_block, rows * len(chosen) // 500_000)
+
+
+def bucket_links(keys: DataFrame, radius: int, max_block: int, tasks: int) -> DataFrame:
+    """Links (a, b) within the buckets (choice, bits) of ``keys``: the first two columns, then the node and its
+    fingerprint, or the fingerprint alone."""
+    node, last = keys.columns[2], keys.columns[-1]
     # large buckets are few: at most rows * choices / max_block, and only their keys are joined back
     large = keys.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > max_block)
     parts = F.ceil(F.col("n") / F.lit(max_block // 2)).cast("int")
-    mine = F.pmod(F.xxhash64("fingerprint"), parts).cast("int")
+    mine = F.pmod(F.xxhash64(last), parts).cast("int")
     other = F.filter(F.sequence(F.lit(0), parts - 1), lambda x: x != mine)
     pairs = F.when(F.col("n").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(other, lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j")))
     )
-    dealt = keys.join(large, ["choice", "bits"], "left").select("choice", "bits", "fingerprint", F.explode(pairs).alias("part"))
+    dealt = keys.join(large, ["choice", "bits"], "left").select(*keys.columns, F.explode(pairs).alias("part"))
     group = F.xxhash64("choice", "bits", "part.i", "part.j")
-    dealt = dealt.select(group.alias("bucket"), "choice", "bits", F.col("part.i").alias("i"), F.col("part.j").alias("j"), "fingerprint")
-    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows * len(masks) // 2_000_000)
+    dealt = dealt.select(group.alias("bucket"), "choice", "bits", F.col("part.i").alias("i"), F.col("part.j").alias("j"), *keys.columns[2:])
+    tasks = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks)
     dealt = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket", "choice", "bits", "i", "j")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,7 +273,7 @@ def links(distinct: DataFrame, radius: int = 4, max_block: int = 2048) -> DataFr
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-                if len(held) < 100_000:
+                if len(held) < (100_000 if node == last else 30_000):
                     continue
             if held is None or not len(held):
                 continue
@@ -189,10 +282,13 @@ def links(distinct: DataFrame, radius: int = 4, max_block: int = 2048) -> DataFr
             groups = np.cumsum(change)
             # the last bucket may go on in the next batch
             end = len(held) if batch is None else int(np.flatnonzero(change)[-1])
-            a, b = forest(groups[:end], held["fingerprint"].to_numpy()[:end].astype(np.int64).view(np.uint64), radius)
+            prints = held[last].iloc[:end]
+            rows = np.frombuffer(b"".join(prints), "<u8").reshape(end, -1) if prints.dtype == object else prints.to_numpy().astype(np.int64).view(np.uint64)
+            a, b = forest(groups[:end], rows, radius)
+            nodes = held[node].to_numpy()[:end]
             held = held.iloc[end:]
             if len(a):
-                yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+                yield pd.DataFrame({"a": nodes[a], "b": nodes[b]})
 
     return dealt.mapInPandas(compare, "a long, b long").filter("a <> b").distinct()
 
@@ -236,12 +332,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(of, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
-    """One document of each component: that of the least ``doc_id``; where several rows have it, one of them.
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, radius: int = 4) -> DataFrame:
+    """(doc_id, component_id) for each row of ``docs``: components of the links of ``near_duplicates`` together with
+    those of five-word shingles whose similarity is ``similarity`` or more."""
+    own = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text"))
+    prints = written(wide_fingerprints(fingerprints(own)).select("doc_id", "fingerprint", "wide"), "wide-fingerprints")
+    distinct = prints.groupBy("fingerprint", "wide").agg(F.min("doc_id").alias("least"))
+    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    edges = None
+    for name, found in (("fingerprint", lambda x: links(x, radius)), ("wide", lambda x: wide_links(x, similarity))):
+        # one node stands for all of an equal fingerprint, and the others are linked to it
+        first = written(distinct.groupBy(name).agg(F.min("node").alias("node")), "first")
+        equal = distinct.select(name, F.col("node").alias("a")).join(first.select(name, F.col("node").alias("b")), name).filter("a <> b").select("a", "b")
+        both = found(first).unionByName(equal)
+        edges = both if edges is None else edges.unionByName(both)
+    roots = components(edges)
+    of = distinct.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+    of = of.select("fingerprint", "wide", "least", F.coalesce("root", "node").alias("root"))
+    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = written(of.join(ids, "root").select("fingerprint", "wide", "component_id"), "components")
+    return prints.join(of, ["fingerprint", "wide"]).select("doc_id", "component_id")
+
+
+def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, radius: int = 4) -> DataFrame:
+    """One document of each component of ``similar_groups``: that of the least ``doc_id``; where several rows have it, one of them.
 
     Rows without a ``doc_id`` can't be told apart and stay.
     """
-    groups = near_duplicates(docs, doc_id, text, radius)
+    groups = similar_groups(docs, doc_id, text, similarity, radius)
     name = free_name(docs, "group_id")
     # what goes, once for each id; an id of several rows has one row of the least among them and needs a second look
     counts = written(groups.groupBy("doc_id").agg(F.min("component_id").alias(name), F.count("*").alias("n")), "group")

@@ -14,10 +14,30 @@ from strata.llm.queries import op1_mixing, op7_tokens, op9_simhash, tokenizer_pa
 from tests.llm.test_text_scans import Folder, contamination, quality_base
 
 
-def fingerprint(text):
+def shingles(text, size):
     words = (text or "").encode().lower().split()
-    n = min(4, len(words))
-    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), 42) for i in range(len(words) - n + 1)] if words else []
+    n = min(size, len(words))
+    return [xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), 42) for i in range(len(words) - n + 1)] if words else []
+
+
+def mixed(x):
+    full = (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+    return x ^ x >> 31
+
+
+def wide_fingerprint(text):
+    hashes = set(shingles(text, 5))
+    out = 0
+    for lane in range(simhash.WIDE // 64):
+        each = [mixed(h + (lane + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for h in hashes]
+        out |= sum(1 << 64 * lane + b for b in range(64) if 2 * sum(h >> b & 1 for h in each) > len(each))
+    return out
+
+
+def fingerprint(text):
+    hashes = shingles(text, 4)
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
@@ -38,6 +58,24 @@ def groups(prints, radius=4):
     return {p: find(p) for p in distinct}
 
 
+def similar_roots(texts):
+    """The root of each text: those of near fingerprints, or of near wide ones, are one component."""
+    prints, wides = list(map(fingerprint, texts)), list(map(wide_fingerprint, texts))
+    by_print, by_wide = groups(prints), groups(wides, simhash.wide_radius())
+    seen, root = {}, list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, keys in enumerate(zip(prints, wides, strict=True)):
+        for key in (("print", by_print[keys[0]]), ("wide", by_wide[keys[1]])):
+            a, b = sorted((find(i), find(seen.setdefault(key, i))))
+            root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
 @pytest.mark.parametrize("which", ["docs", "odd", "clashing", "empty"])
 def test_simhash(spark, request, tmp_path, which):
     df = request.getfixturevalue(which)
@@ -69,6 +107,58 @@ def test_links_of_dense_groups(spark, block):
     assert {frozenset(k for k in rows if root[k] == r) for r in set(root.values())} == {frozenset(k for k in rows if got.get(k, k) == r) for r in {got.get(k, k) for k in rows}}
 
 
+def test_wide_fingerprints_are_those_of_plain_python():
+    texts = ["", "one", "a b c d e", "x " * 70_000, " ".join(map(str, range(70_000 // 100))), "Été \U0001f600 a b c d e f g"]
+    for t in texts:
+        assert int.from_bytes(simhash.wide_fingerprint(simhash.shingle_hashes(t.encode(), 5)), "little") == wide_fingerprint(t)
+
+
+def varied(random, n_families=30, alone=120):
+    """Families of texts with a few words changed, and others; (id, text)."""
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(n_families):
+        base = random.choice(vocabulary, random.integers(60, 400)).tolist()
+        for k in range(random.integers(2, 6)):
+            words = list(base)
+            for at in random.choice(len(words), k * len(words) // 150, replace=False):
+                words[at] = "changed" + str(random.integers(1000))
+            rows.append(" ".join(words))
+    rows += [" ".join(random.choice(vocabulary, random.integers(60, 400))) for _ in range(alone)]
+    return list(enumerate(rows))
+
+
+def test_similar_texts_meet(spark):
+    rows = varied(np.random.default_rng(3))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
+    sets = {i: set(shingles(t, 5)) for i, t in rows}
+    pairs = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in sets for b in sets if a < b]
+    near = [(a, b) for a, b, s in pairs if s >= 0.8]
+    assert len(near) > 30 and sum(got[a] == got[b] for a, b in near) >= 0.95 * len(near)
+    assert all(got[a] == got[b] for a, b, s in pairs if s >= 0.87)
+    assert not any(got[a] == got[b] for a, b, s in pairs if s < 0.1)
+    kept = {r["doc_id"] for r in simhash.kept_documents(df).collect()}
+    assert kept == {got[i] for i in got}
+
+
+@pytest.mark.parametrize("block", [8, 4096])
+def test_wide_links_lose_no_dense_group(spark, block):
+    """A group of many texts, each unlike some of the others, is one component, whatever the size of a block."""
+    random = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        words[random.integers(300)] = f"x{random.integers(10_000)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"y{random.integers(5000)}" for _ in range(100)) for _ in range(50)]
+    wides = [simhash.wide_fingerprint(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    df = spark.createDataFrame(list(enumerate(wides)), "node long, wide binary")
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.wide_links(df, max_block=block)).collect()}
+    assert got == {i: 0 for i in range(1, 150)}  # the root itself is not listed
+
+
 def poisson(mean, u):
     k, term, cdf = 0, math.exp(-mean), math.exp(-mean)
     while cdf <= u:
@@ -199,10 +289,9 @@ def survivors(spark, sf_dir):
     kept = {r["doc_id"] for r in quality_rules.quality_rules(docs, into="q").filter("q.kept").select("doc_id").collect()}
     rows = [r for r in docs.collect() if r["doc_id"] in kept]
     assert not any(quality_base(r["text"])[5] for r in rows)
-    prints = {r["doc_id"]: fingerprint(r["text"]) for r in rows}
-    root, first = groups(list(prints.values())), {}
-    for i in sorted(prints):
-        first.setdefault(root[prints[i]], i)
+    first = {}
+    for root, r in zip(similar_roots([r["text"] for r in rows]), rows, strict=True):
+        first[root] = min(first.get(root, r["doc_id"]), r["doc_id"])
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     return [r for r in rows if r["doc_id"] in set(first.values()) and not contamination(r["text"], items)[4]]
 
