@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import decontaminate, langid, licenses, mixing, quality_bayes, quality_rules, secrets, simhash, tokens, toxicity
+from strata.llm import decontaminate, langid, licenses, mixing, quality_bayes, quality_rules, secrets, simhash, sql, tokens, toxicity
 from strata.llm.common import free_name, table
 
 
@@ -94,4 +94,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_secrets, op3_language_id, op4_toxicity, op5_decontamination, op6_quality_classifier, op7_tokens, op8_licenses, op9_simhash, op10_quality_rules)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = sql.SQL
