@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from strata.llm.common import column, free_name, ready, remove, new_path, steps, utf8, written
 
 BITS, SEED = 64, 42
+#: Tasks that the rows of one hub or component are dealt to where they are joined.
+SALTS = 8
 #: Bits of a wide fingerprint, rows that a bucket of unrelated ones should have at most, and the chance to miss a link.
 WIDE, BUCKET, MISS = 512, 512, 0.02
 
@@ -293,6 +295,25 @@ def bucket_links(keys: DataFrame, radius: int, max_block: int, tasks: int) -> Da
     return dealt.mapInPandas(compare, "a long, b long").filter("a <> b").distinct()
 
 
+def salted(one: DataFrame, many: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has one row for each key: the rows of ``many`` of one key are dealt by a hash
+    of ``by``, and the row of ``one`` stands in each of the parts."""
+    parts = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return dealt.join(parts, [key, "salt"], how).drop("salt")
+
+
+def component_ids(distinct: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """``distinct`` with the least ``least`` of each node's component, null only if all are, as component_id."""
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = distinct.join(members.select(F.col("node").alias("linked"), F.col("root").alias("found")), F.col(node) == F.col("linked"), "left")
+    linked = linked.withColumn("root", F.coalesce("found", F.col(node)))
+    # only components of two or more nodes have a row here
+    others = linked.filter("linked is not null").groupBy("root").agg(F.min("least").alias("others"))
+    every = salted(others, linked, "root", node, "left")
+    return every.select(*distinct.columns, F.least("least", "others").alias("component_id")).drop("least")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each node's component, by alternating large-star and small-star rounds.
 
@@ -310,7 +331,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = (count, total)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        star = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # large star
+        star = salted(least, both, "u", "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # large star
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         star = star.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))  # small star
         following = new_path(spark, "edges")
@@ -325,10 +346,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = written(fingerprints(own, words=words).select("doc_id", "fingerprint"), "fingerprints")
     distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fingerprint"), radius))
-    # a component's id, by fingerprint: only those of two or more fingerprints have a root
-    of = distinct.join(roots, distinct.fingerprint == roots.node, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = written(of.join(ids, "root").select("fingerprint", "component_id"), "components")
+    of = written(component_ids(distinct, roots, "fingerprint").select("fingerprint", "component_id"), "components")
     return prints.join(of, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
@@ -347,10 +365,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         both = found(first).unionByName(equal)
         edges = both if edges is None else edges.unionByName(both)
     roots = components(edges)
-    of = distinct.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
-    of = of.select("fingerprint", "wide", "least", F.coalesce("root", "node").alias("root"))
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = written(of.join(ids, "root").select("fingerprint", "wide", "component_id"), "components")
+    of = written(component_ids(distinct, roots, "node").select("fingerprint", "wide", "component_id"), "components")
     return prints.join(of, ["fingerprint", "wide"]).select("doc_id", "component_id")
 
 
