@@ -1,13 +1,16 @@
 """License scans: an exact set-similarity join of text blocks with license templates; DataFrame functions only.
 
-A block is a line of a text; its token set is joined with each template's. A pair is in the result if the block has
-at least ``threshold`` of the template's tokens (containment). Tokens are ordered by their frequency over all
+A block is a line of a text, or a run of as many consecutive words of the whole text as the template has, so a notice
+that is wrapped over lines is a block too; its token set is joined with each template's. A pair is in the result if the
+block has at least ``threshold`` of the template's tokens (containment). Tokens are ordered by their frequency over all
 documents, rarest first. A template of n tokens needs k = ceil(threshold * n) of them, so any block in the result has
 one of the template's first n - k + 1 tokens (its prefix): only blocks with a prefix token become candidates. Of
 those, blocks with fewer than k tokens go (length filter), as do pairs in which the prefix tokens found and all
 tokens that follow the first of them in the order are fewer than k (positional filter). The overlap of what remains
 is counted exactly. Templates are few and short, which is checked, so their index is broadcast; documents are joined
-where they lie and only findings move.
+where they lie and only findings move. Runs are looked at only in texts of several lines that have enough of the
+template's tokens anywhere, at each word that is one of them; a run that begins elsewhere has no more of them than the
+run at its first one.
 
 Beside the join, base phrases are found word by word.
 
@@ -64,6 +67,13 @@ def tokens_of(template: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.split(BREAK, template.lower()) if w))
 
 
+def length_of(template: str) -> int:
+    """The number of words of a template, repeated ones too."""
+    import re
+
+    return sum(1 for w in re.split(BREAK, template.lower()) if w)
+
+
 def phrase_places(tokens: Column, phrase: str) -> Column:
     """The word numbers, from 0, at which the phrase's words stand; texts without its last but one word are not walked."""
     parts = phrase.split()
@@ -85,35 +95,51 @@ def token_counts(docs: DataFrame, vocabulary: list[str], text: str = "text") ->
 
 
 def set_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, text_hash, block, label, template, containment): all pairs of a block and a template over the threshold."""
+    """(id, text_hash, block, label, template, containment): all pairs of a block and a template over the threshold.
+
+    ``block`` is the line's number, and null for a template's best run of words of the whole text.
+    """
     spark = docs.sparkSession
-    sets = [(i, label, tokens_of(t)) for i, (t, label) in enumerate(templates)]
-    if sum(len(s) for *_, s in sets) > MAX_TEMPLATE_TOKENS:
+    sets = [(i, label, tokens_of(t), length_of(t)) for i, (t, label) in enumerate(templates)]
+    if sum(len(s) for _, _, s, _ in sets) > MAX_TEMPLATE_TOKENS:
         raise ValueError(f"the templates have more than {MAX_TEMPLATE_TOKENS} tokens; give them in several calls")
-    counts = token_counts(docs, sorted({w for *_, s in sets for w in s}), text)
+    counts = token_counts(docs, sorted({w for _, _, s, _ in sets for w in s}), text)
     index = []
-    for i, label, s in sets:
+    for i, label, s, length in sets:
         ordered = sorted(s, key=lambda w: (counts.get(w, 0), w))
         need = math.ceil(threshold * len(ordered) - 1e-9)
         prefix = ordered[: len(ordered) - need + 1]
-        index += [(w, i, label, ordered, prefix, at, need) for at, w in enumerate(prefix)]
-    starts = [r[0] for r in index]
-    schema = "w string, template int, label string, ordered array<string>, prefix array<string>, at int, need int"
+        index += [(w, i, label, ordered, prefix, at, need, length) for at, w in enumerate(prefix)]
+    starts = F.array(*map(F.lit, sorted({r[0] for r in index})))
+    schema = "w string, template int, label string, ordered array<string>, prefix array<string>, at int, need int, length int"
     index = F.broadcast(spark.createDataFrame(index, schema))
     body = F.coalesce(column(docs, text), F.lit(""))
-    blocks = docs.select(column(docs, doc_id).alias("id"), F.xxhash64(body).alias("text_hash"), F.posexplode(F.split(body, "\n")).alias("block", "line"))
-    blocks = blocks.filter("line <> ''").select("id", "text_hash", "block", F.array_distinct(words(F.col("line"))).alias("tokens"))
+
+    def overlaps(blocks: DataFrame) -> DataFrame:
+        """The pairs of a block and a template with the needed tokens; only a block's prefix tokens are exploded."""
+        candidates = blocks.select("*", F.explode(F.array_intersect("tokens", starts)).alias("w")).join(index, "w")
+        candidates = candidates.filter(F.size("tokens") >= F.col("need"))
+        # a pair is taken at the first of its prefix tokens that the block has
+        earlier = F.slice(F.col("prefix"), F.lit(1), F.col("at"))
+        candidates = candidates.filter((F.col("at") == 0) | ~F.arrays_overlap(earlier, F.col("tokens")))
+        candidates = candidates.filter(F.size("ordered") - F.col("at") >= F.col("need"))
+        overlap = F.size(F.array_intersect("ordered", "tokens"))
+        return candidates.withColumn("overlap", overlap).filter(F.col("overlap") >= F.col("need"))
+
+    own = [column(docs, doc_id).alias("id"), F.xxhash64(body).alias("text_hash")]
+    lines = docs.select(*own, F.posexplode(F.split(body, "\n")).alias("block", "line"))
+    lines = lines.filter("line <> ''").select("id", "text_hash", "block", F.array_distinct(words(F.col("line"))).alias("tokens"))
     # a line without a prefix token is left before its words are exploded
-    blocks = blocks.filter(F.arrays_overlap("tokens", F.array(*map(F.lit, sorted(set(starts))))))
-    candidates = blocks.select("*", F.explode("tokens").alias("w")).join(index, "w")
-    candidates = candidates.filter(F.size("tokens") >= F.col("need"))
-    # a pair is taken at the first of its prefix tokens that the block has
-    earlier = F.slice(F.col("prefix"), F.lit(1), F.col("at"))
-    candidates = candidates.filter((F.col("at") == 0) | ~F.arrays_overlap(earlier, F.col("tokens")))
-    candidates = candidates.filter(F.size("ordered") - F.col("at") >= F.col("need"))
-    overlap = F.size(F.array_intersect("ordered", "tokens"))
-    pairs = candidates.withColumn("overlap", overlap).filter(F.col("overlap") >= F.col("need"))
-    return pairs.select("id", "text_hash", "block", "label", "template", (F.col("overlap") / F.size("ordered")).alias("containment"))
+    lines = overlaps(lines.filter(F.arrays_overlap("tokens", starts)))
+    # a run within one line is a part of it; words are split once, by a generator of one row
+    texts = docs.filter(F.instr(body, "\n") > 0).select(*own, F.explode(F.array(words(body))).alias("held"))
+    texts = texts.filter(F.arrays_overlap("held", starts))
+    texts = overlaps(texts.select("id", "text_hash", F.lit(None).cast("int").alias("block"), "held", F.array_distinct("held").alias("tokens")))
+    places = F.filter(F.sequence(F.lit(1), F.size("held")), lambda i: F.array_contains("ordered", F.element_at("held", i)))
+    most = F.array_max(F.transform(places, lambda i: F.size(F.array_intersect("ordered", F.slice("held", i, F.col("length"))))))
+    runs = texts.drop("overlap").select("*", F.explode(F.array(most)).alias("overlap")).filter(F.col("overlap") >= F.col("need"))
+    result = ["id", "text_hash", "block", "label", "template", (F.col("overlap") / F.size("ordered")).alias("containment")]
+    return lines.select(*result).unionByName(runs.select(*result))
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

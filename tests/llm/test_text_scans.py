@@ -101,6 +101,22 @@ def test_licenses(spark, request, tmp_path, which):
     assert all(0 <= r["score"] <= 1 and (r["score"] > 0) == (r["labels"] != "") for r in rows)
 
 
+def test_wrapped_licenses(spark, tmp_path):
+    """Notices wrapped over lines, with comment marks or over many lines, have their labels; scattered words have none."""
+    wrapped = [
+        ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"),
+        ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"),
+        ("isc", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"),
+        ("mpl-2", "subject to the terms of the Mozilla Public\nLicense, v. 2.0"),
+        ("mit", " * Permission is hereby granted, free of\n * charge, to any person obtaining a\n * copy of this software and associated\n * documentation files"),
+        ("", "Redistribution and use in source\n" + "calm sea " * 20 + "\nand binary forms, with or without\nmodification, are permitted"),
+    ]
+    rows = [(i, f"Some words before.\n\n{t} and more\nafter it") for i, (_, t) in enumerate(wrapped)]
+    folder = Folder(tmp_path).put("documents", spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in op8_licenses(spark, folder.path).collect()}
+    assert found == {i: (label, 1.0 if label else 0.0) for i, (label, _) in enumerate(wrapped)}
+
+
 def windows(items, size=13):
     for item, text in items:
         words = WORD.findall((text or "").translate(LOWER))
