@@ -5,11 +5,13 @@ A context predicts a byte it has seen by its count and leaves the share d / (n +
 to escape; on an escape the next shorter context predicts among the bytes not seen, and below the empty context all
 bytes are equally likely. So the probabilities of each context add up to one, and a text's code length under a
 language is the sum of -log2 of its bytes' probabilities. The statistics are frozen after training and the code
-lengths of all (context, byte) pairs written out, so a text is scored with two table lookups a byte.
+lengths of the (context, byte) pairs that occurred written out, beside what an escape costs in each context. A text is
+scored by the distinct runs of four bytes in a batch: each is looked up once in each language.
 
-Training takes a bounded sample: at most about ``max_train_docs`` documents of each language, chosen by a hash of the
-id, of at most ``max_train_chars`` characters each, and the ``max_languages`` most frequent languages. Texts are
-lower-cased; bytes other than the 127 most frequent share one symbol, and its bytes are equally likely.
+Training takes every language that has a text, and a bounded sample of each: about ``max_train_docs`` documents, chosen
+by a hash of the id, and the first ``max_train_chars`` characters of each. A language keeps its own ``max_contexts``
+most frequent contexts of three bytes and a quarter as many of two, however many languages there are. Texts are
+lower-cased; all 256 values of a byte are told apart.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing could be
 learned; ties go to the first language by name; a null id is never held out; repeated rows get equal results; an
@@ -19,6 +21,7 @@ empty table gives an empty result; texts of any length are scored whole; other c
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import column, ready, steps
 
-SYMBOLS, ORDER, PAD = 128, 3, b" " * 3
+SYMBOLS, ORDER, PAD = 256, 3, b" " * 3
 LETTER = re.compile(r"[^\W\d_]")
 RESULT = "lang_pred string, score double, bits double"
 
@@ -49,6 +52,18 @@ def sample(rows: DataFrame, key: Column, group: str, most: int, seed: int = 7) -
     return rows.filter(u < chance)
 
 
+def sample_of_many(rows: DataFrame, key: Column, group: str, most: int, seed: int = 7) -> DataFrame:
+    """The rows that ``sample`` chooses, for any number of groups."""
+    counts = [(value, n) for value, n in rows.groupBy(group).count().collect() if value is not None]
+    if not counts:
+        return rows.limit(0)
+    # one lookup, as an expression of a branch for each of many languages would be too deep
+    chances = F.create_map(*(x for value, n in counts for x in (F.lit(value), F.lit(most / n))))
+    chance = F.coalesce(F.try_element_at(chances, F.col(group)), F.lit(0.0))
+    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.filter(u < chance)
+
+
 def refine(base: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The predictions of contexts with these counts, given those of the next shorter ones."""
     n, seen = counts.sum(1, keepdims=True), counts > 0
@@ -60,70 +75,115 @@ def refine(base: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.where(n > 0, out, base)
 
 
-class Model:
-    """Code lengths by context and symbol for each language."""
+def found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands among the sorted ones, and whether it does."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
 
-    def __init__(self, texts: dict[str, list[str]], max_contexts: int = 8192):
-        self.languages = sorted(texts)
-        raw = {k: np.frombuffer(b"".join(PAD + t.lower().encode() for t in v) + PAD, np.uint8) for k, v in texts.items()}
-        counts = sum(np.bincount(x, minlength=256) for x in raw.values())
-        frequent = np.argsort(-counts, kind="stable")[: SYMBOLS - 1]
-        self.symbol = np.full(256, SYMBOLS - 1, np.int32)
-        self.symbol[frequent] = np.arange(SYMBOLS - 1)
-        share = np.ones(SYMBOLS)
-        share[-1] = 256 - (SYMBOLS - 1)
-        data = {k: self.symbol[x].astype(np.int64) for k, x in raw.items()}
-        grams = {}
-        for k, x in data.items():
-            a, b, c, d = x[:-3], x[1:-2], x[2:-1], x[3:]
-            for order, context in enumerate((np.zeros_like(d), c, b * SYMBOLS + c, (a * SYMBOLS + b) * SYMBOLS + c)):
-                grams[k, order] = np.unique(context * SYMBOLS + d, return_counts=True)
+
+class Tree:
+    """One language's context tree: code lengths of pairs that occurred, and of escapes, by order."""
+
+    def __init__(self, texts: list[str], max_contexts: int):
+        x = np.frombuffer(b"".join(PAD + t.lower().encode() for t in texts) + PAD, np.uint8).astype(np.int64)
+        a, b, c, d = x[:-3], x[1:-2], x[2:-1], x[3:]
+        grams = [np.unique(context * SYMBOLS + d, return_counts=True) for context in (np.zeros_like(d), c, b * SYMBOLS + c, (a * SYMBOLS + b) * SYMBOLS + c)]
         nodes = [np.zeros(1, np.int64), np.arange(SYMBOLS)]
         for order, room in ((2, max_contexts // 4), (3, max_contexts)):
-            keys = np.concatenate([grams[k, order][0] // SYMBOLS for k in data])
-            weight = np.concatenate([grams[k, order][1] for k in data])
-            found, at = np.unique(keys, return_inverse=True)
-            total = np.bincount(at, weights=weight, minlength=len(found))
+            keys, inverse = np.unique(grams[order][0] // SYMBOLS, return_inverse=True)
+            total = np.bincount(inverse, weights=grams[order][1], minlength=len(keys))
             if order == 3:  # its suffix must be a context too
-                total = np.where(np.isin(found % SYMBOLS**2, nodes[2]), total, 0)
+                total = np.where(np.isin(keys % SYMBOLS**2, nodes[2]), total, 0)
             best = np.argsort(-total, kind="stable")[:room]
-            nodes.append(np.sort(found[best[total[best] > 0]]))
-        sizes = np.cumsum([0] + [len(x) for x in nodes[1:]])
-        lengths = np.empty((sizes[-1], SYMBOLS, len(data)), np.float32)
-        for i, k in enumerate(self.languages):
-
-            def table(order: int, at: np.ndarray, k=k) -> np.ndarray:
-                key, n = grams[k, order]
-                out, where = np.zeros((len(at), SYMBOLS)), np.searchsorted(at, key // SYMBOLS)
-                ok = (where < len(at)) & (at[np.minimum(where, len(at) - 1)] == key // SYMBOLS) if len(at) else np.zeros(len(key), bool)
-                out[where[ok], key[ok] % SYMBOLS] = n[ok]
-                return out
-
-            p = [refine((share / share.sum())[None, :], table(0, nodes[0]))]
-            p.append(refine(np.repeat(p[0], SYMBOLS, 0), table(1, nodes[1])))
-            p.append(refine(p[1][nodes[2] % SYMBOLS], table(2, nodes[2])))
-            p.append(refine(p[2][np.searchsorted(nodes[2], nodes[3] % SYMBOLS**2)], table(3, nodes[3])))
-            lengths[:, :, i] = -np.log2(np.maximum(np.concatenate(p[1:]) / share, 1e-30))
-        self.lengths = lengths.reshape(-1, len(data))
+            nodes.append(np.sort(keys[best[total[best] > 0]]))
+
+        def counts(order: int) -> np.ndarray:
+            key, n = grams[order]
+            out, (where, ok) = np.zeros((len(nodes[order]), SYMBOLS)), found(nodes[order], key // SYMBOLS)
+            out[where[ok], key[ok] % SYMBOLS] = n[ok]
+            return out
+
+        bits = lambda p: -np.log2(np.maximum(p, 1e-30))
+        p = [refine(np.full((1, SYMBOLS), 1 / SYMBOLS), counts(0))]
+        p.append(refine(np.repeat(p[0], SYMBOLS, 0), counts(1)))
+        self.single = bits(p[1]).astype(np.float32).ravel()
+        self.nodes, self.keys, self.lengths, self.escapes = {}, {}, {}, {}
+        for order in (2, 3):
+            base = p[1][nodes[2] % SYMBOLS] if order == 2 else p[2][np.searchsorted(nodes[2], nodes[3] % SYMBOLS**2)]
+            n = counts(order)
+            p.append(refine(base, n))
+            row, byte = np.nonzero(n)
+            self.nodes[order], self.keys[order] = nodes[order], nodes[order][row] * SYMBOLS + byte
+            self.lengths[order] = bits(p[order][row, byte]).astype(np.float32)
+            # the bytes not seen keep their proportions, so one number says what an escape costs each of them
+            left, after = np.where(n > 0, 0, base).sum(1), np.where(n > 0, 0, p[order]).sum(1)
+            self.escapes[order] = np.where(left > 0, bits(after / np.where(left > 0, left, 1)), 0).astype(np.float32)
+
+    def code_lengths(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Bits of the last byte of each run of ``order`` + 1 bytes, after the ones before it."""
+        out, open_ = np.zeros(len(keys), np.float32), np.arange(len(keys))
+        for k in range(order, 1, -1):
+            key = keys[open_] % SYMBOLS ** (k + 1)
+            at, seen = found(self.keys[k], key)
+            out[open_[seen]] += self.lengths[k][at[seen]]
+            open_, key = open_[~seen], key[~seen]
+            at, is_node = found(self.nodes[k], key // SYMBOLS)
+            out[open_[is_node]] += self.escapes[k][at[is_node]]
+        out[open_] += self.single[keys[open_] % SYMBOLS**2]
+        return out
+
+
+class Model:
+    """A context tree for each language."""
+
+    def __init__(self, texts: dict[str, list[str]], max_contexts: int = 8192):
+        self.languages = sorted(texts)
+        self.trees = [Tree(texts[k], max_contexts) for k in self.languages]
+
+    @cached_property
+    def symbol(self) -> np.ndarray:
+        """The symbol of each byte: itself."""
+        return np.arange(SYMBOLS, dtype=np.int32)
+
+    @cached_property
+    def union(self) -> dict[int, np.ndarray]:
+        """The contexts of two and three bytes of all languages."""
+        return {k: np.unique(np.concatenate([t.nodes[k] for t in self.trees])) for k in (2, 3)}
+
+    @cached_property
+    def context(self) -> np.ndarray:
+        """For small models: where the code lengths of each three bytes begin in ``lengths``."""
+        two, three = self.union[2], self.union[3]
         context = np.tile(np.arange(SYMBOLS, dtype=np.int32), SYMBOLS**2).reshape(SYMBOLS, SYMBOLS, SYMBOLS)
-        context[:, nodes[2] // SYMBOLS, nodes[2] % SYMBOLS] = sizes[1] + np.arange(len(nodes[2]))
+        context[:, two // SYMBOLS, two % SYMBOLS] = SYMBOLS + np.arange(len(two))
         context = context.reshape(-1)
-        context[nodes[3]] = sizes[2] + np.arange(len(nodes[3]))
-        self.context = context * SYMBOLS
+        context[three] = SYMBOLS + len(two) + np.arange(len(three))
+        return context * SYMBOLS
+
+    @cached_property
+    def lengths(self) -> np.ndarray:
+        """For small models: bits of each byte after each context (rows) under each language (columns)."""
+        each = lambda nodes: (nodes[:, None] * SYMBOLS + np.arange(SYMBOLS)).ravel()
+        keys = {1: np.arange(SYMBOLS**2), 2: each(self.union[2]), 3: each(self.union[3])}
+        return np.column_stack([np.concatenate([t.code_lengths(keys[k], k) for k in keys]) for t in self.trees])
 
     def code_lengths(self, texts: list[str]) -> np.ndarray:
         """Bits of each text (rows) under each language (columns)."""
         parts = [t.lower().encode("utf-8", "replace") for t in texts]
-        x = self.symbol[np.frombuffer(b"".join(PAD + p for p in parts) + PAD, np.uint8)]
-        at = (x[:-3] * SYMBOLS + x[1:-2]) * SYMBOLS + x[2:-1]
-        bits = self.lengths[self.context[at] + x[3:]]
+        x = np.frombuffer(b"".join(PAD + p for p in parts) + PAD, np.uint8).astype(np.uint32)
+        keys, at = np.unique(x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:], return_inverse=True)
+        keys = keys.astype(np.int64)
         ends = np.cumsum([len(p) + len(PAD) for p in parts]) - len(PAD)
         starts = ends - [len(p) for p in parts]
-        sums = np.zeros((len(parts), bits.shape[1]))
+        sums = np.zeros((len(parts), len(self.trees)))
         full = np.flatnonzero(ends > starts)
         if len(full):
             edges = np.column_stack([starts[full], ends[full]]).ravel()
-            sums[full] = np.add.reduceat(np.vstack([bits, np.zeros((1, bits.shape[1]), np.float32)]), edges, axis=0, dtype=np.float64)[::2]
+            for i, tree in enumerate(self.trees):
+                bits = np.append(tree.code_lengths(keys)[at], np.float32(0))
+                sums[full, i] = np.add.reduceat(bits, edges, dtype=np.float64)[::2]
         return sums
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
@@ -138,16 +198,14 @@ class Model:
         return out
 
 
-def train(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_train_docs: int = 400, max_train_chars: int = 20_000, max_languages: int = 64, max_contexts: int = 8192) -> Model | None:
+def train(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_train_docs: int = 400, max_train_chars: int = 20_000, max_contexts: int = 8192) -> Model | None:
     """A model of the languages of these rows, or None if they have none."""
     own = rows.select(column(rows, doc_id).cast("string").alias("key"), column(rows, text).alias("text"), column(rows, lang).cast("string").alias("lang"))
-    own = own.filter("text is not null and lang is not null").filter(F.length("text") <= max_train_chars)
-    # the languages are counted first; the sample's bound follows from theirs
-    names = [r[0] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    own = own.filter("text is not null and lang is not null").withColumn("text", F.substring("text", 1, max_train_chars))
     texts: dict[str, list[str]] = {}
-    for r in sorted(sample(own.filter(F.col("lang").isin(names)), F.col("key"), "lang", max_train_docs).collect(), key=lambda r: (r["lang"], r["key"] or "")):
+    for r in sorted(sample_of_many(own, F.col("key"), "lang", max_train_docs).collect(), key=lambda r: (r["lang"], r["key"] or "")):
         texts.setdefault(r["lang"], []).append(r["text"])
-    return Model(texts, max_contexts * 4 // max(4, len(texts))) if texts else None
+    return Model(texts, max_contexts) if texts else None
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", into: str = "language") -> DataFrame:

@@ -36,6 +36,21 @@ def test_code_lengths_by_hand():
     assert np.allclose(total[:, :-1].sum(1) + total[:, -1] * (256 - langid.SYMBOLS + 1), 1, atol=1e-4)
 
 
+def test_all_languages_are_learned(spark):
+    """More than 64 languages, one of them of long texts only, keep their contexts and bytes."""
+    random = np.random.default_rng(4)
+    words = {f"l{i:02}": ["".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(30)] for i in range(70)}
+    words["zz-long"] = ["".join(random.choice(list("абвгдежзиклмнопрст"), 5)) for _ in range(30)]
+    text = lambda k, n: " ".join(random.choice(words[k], n))
+    rows = [(f"{k}{j}", text(k, 5000 if k == "zz-long" else 100), k) for k in words for j in range(2)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id string, text string, lang string"))
+    assert model.languages == sorted(words)
+    asked = sorted(words)
+    assert model.predict([text(k, 20) for k in asked])["lang_pred"].tolist() == asked
+    alone = langid.Model({"l00": [t for _, t, k in rows if k == "l00"]})
+    assert np.allclose(model.code_lengths(["some text"])[:, 0], alone.code_lengths(["some text"])[:, 0])
+
+
 def test_language_held_out(spark):
     rows = op3_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
