@@ -6,8 +6,10 @@ three characters from disjoint alphabets, any other word as three spaces, so the
 state, matches begin and end at words, and the place of a match gives the place of its words; these are mapped to
 character offsets of the original text.
 
-An automaton holds at most ``max_words`` words of items. A larger benchmark is cut by item into several that are
-scanned one after another over the documents, written with a row number, and the hits of a row are put together.
+An automaton holds at most ``max_words`` words of items and ``WORD_BYTES`` times as many bytes. A larger benchmark is
+cut into several that are scanned one after another over the documents, written with a row number, and the hits of a
+row are put together. An item of more than ``max_words`` words is cut into pieces that overlap by all but one word of a
+window, so every window stands in one of them.
 
 Defined results: a null text or item has no words; items without words are never found; an item's id may be null and
 is then not named; repeated rows are scanned one by one; an empty benchmark hits nothing; an empty table gives an
@@ -30,8 +32,11 @@ from strata.llm.common import column, free_name, new_path, ready, utf8, written
 
 #: All but letters, digits and non-ASCII bytes become a space, A-Z become a-z.
 NORMAL = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
+BREAK, UPPER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 NO_WORD = "   "
+#: Bytes of items that an automaton may hold for each word that it may hold.
+WORD_BYTES = 32
 
 RESULT = "n_words long, n_hit long, n_items long, items array<long>, spans array<struct<start: long, end: long>>, contaminated boolean"
 
@@ -49,16 +54,14 @@ def spelled(number: int) -> str:
 def patterns(items: list[tuple[int | None, bytes]], window: int) -> tuple[dict[bytes, str], dict[str, tuple[int, list[int | None]]]]:
     """The spelling of each word, and for each window its length in words and its items."""
     spelling: dict[bytes, str] = {}
-    found: dict[str, tuple[int, list[int | None]]] = {}
+    found: dict[str, tuple[int, dict[int | None, None]]] = {}
     for item, text in items:
         words = words_of(text)
         line = "".join(spelling.setdefault(w, spelled(len(spelling))) for w in words)
         size = min(window, len(words))
         for i in range(len(words) - size + 1) if size else ():
-            _, of = found.setdefault(line[3 * i : 3 * (i + size)], (size, []))
-            if item not in of:
-                of.append(item)
-    return spelling, found
+            found.setdefault(line[3 * i : 3 * (i + size)], (size, {}))[1][item] = None
+    return spelling, {line: (size, list(of)) for line, (size, of) in found.items()}
 
 
 class Scanner:
@@ -121,14 +124,24 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def pieces(benchmark: DataFrame, item_id: str, item_text: str, window: int, max_words: int) -> DataFrame:
+    """(id, t) of each item; one of more than ``max_words`` words is cut into pieces that have all its windows."""
+    most = max(max_words, window)
+    held = F.array_remove(F.split(F.translate(F.coalesce(column(benchmark, item_text), F.lit("")), UPPER, UPPER.lower()), BREAK), "")
+    items = benchmark.select(column(benchmark, item_id).cast("long").alias("id"), F.explode(F.array(held)).alias("held"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("held") - (window - 1), F.lit(1)), F.lit(most - window + 1))
+    cut = items.select("id", F.explode(F.transform(starts, lambda i: F.slice("held", i, most))).alias("held"))
+    return cut.select("id", F.array_join("held", " ").cast("binary").alias("t"))
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", into: str = "benchmark_hits", window: int = 13, max_words: int = 100_000
 ) -> DataFrame:
     """``docs`` with a struct column ``into``: words, hit words, items found, spans in the original, the verdict."""
     spark = ready(docs.sparkSession)
-    items = benchmark.select(column(benchmark, item_id).cast("long").alias("id"), utf8(column(benchmark, item_text)).alias("t"))
-    size = items.agg(F.sum(F.size(F.split(F.col("t").cast("string"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
-    parts = max(1, -(-int(size) // max_words))
+    items = pieces(benchmark, item_id, item_text, window, max_words)
+    words, octets = items.agg(F.sum(F.size(F.split(F.col("t").cast("string"), " "))), F.sum(F.octet_length("t"))).first()
+    parts = max(1, -(-int(words or 0) // max_words), -(-int(octets or 0) // (max_words * WORD_BYTES)))
     if parts == 1:
         held = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in items.collect()])
         return docs.withColumn(into, scanned(held, window)(utf8(column(docs, text))))
@@ -178,7 +191,11 @@ def items_sha256(ids: list[int]) -> str:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with their own columns only."""
+    """The documents in which no window of an item occurs, with their own columns only.
+
+    The verdict ``contaminated`` leaves a long document with a short passage in it; for training that passage is a leak
+    as well, so one hit is enough here.
+    """
     name = free_name(docs, "benchmark_hits")
-    return decontaminate(docs, benchmark, into=name, **options).filter(~F.col(f"{name}.contaminated")).drop(name)
+    return decontaminate(docs, benchmark, into=name, **options).filter(F.col(f"{name}.n_hit") == 0).drop(name)
 

@@ -293,7 +293,7 @@ def survivors(spark, sf_dir):
     for root, r in zip(similar_roots([r["text"] for r in rows]), rows, strict=True):
         first[root] = min(first.get(root, r["doc_id"]), r["doc_id"])
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    return [r for r in rows if r["doc_id"] in set(first.values()) and not contamination(r["text"], items)[4]]
+    return [r for r in rows if r["doc_id"] in set(first.values()) and not contamination(r["text"], items)[1]]
 
 
 def test_pipeline(spark, tokenizer):

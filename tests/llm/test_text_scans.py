@@ -157,6 +157,27 @@ def test_decontamination(spark, request, tmp_path, which):
         assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], decontaminate.items_sha256(r["items"]), r["contaminated"]) for r in parts) == want
 
 
+def test_clean_documents_have_no_hit(spark):
+    """A short passage in a long document is not contamination by its share, but the document goes."""
+    passage = " ".join(f"b{i}" for i in range(15))
+    texts = ["calm sea " * 400 + passage + " green hill" * 400, passage, "calm sea " * 900, " ".join(passage.split()[:12]), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    found = decontaminate.decontaminate(df, bench, into="h").orderBy("doc_id").select("h.n_hit", "h.contaminated").collect()
+    assert [tuple(r) for r in found] == [(15, False), (15, True), (0, False), (0, False), (0, False)]
+    assert sorted(r["doc_id"] for r in decontaminate.clean_documents(df, bench).collect()) == [2, 3, 4]
+
+
+def test_items_longer_than_an_automaton(spark):
+    """A long item is cut into pieces without losing a window."""
+    words = [f"w{i}" for i in range(100)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "w5 w6"), (None, " ".join(words[:20]))], "item_id long, text string")
+    df = spark.createDataFrame([(i, " ".join(words[i : i + 13])) for i in range(88)] + [(90, " ".join(words))], "doc_id long, text string")
+    rows = decontaminate.decontaminate(df, bench, into="h", max_words=20).orderBy("doc_id").select("doc_id", "h.n_hit", "h.items").collect()
+    assert [r["n_hit"] for r in rows] == [13] * 88 + [100]
+    assert all(r["items"] == ([1, 2] if r["doc_id"] <= 5 or r["doc_id"] == 90 else [1]) for r in rows)
+
+
 def test_decontamination_spans(spark):
     df = spark.createDataFrame([("É one TWO, three 😀 four",)], "text string")
     bench = spark.createDataFrame([(1, "two three")], "item_id long, text string")
