@@ -10,12 +10,12 @@ dealt out as pairs of its parts, so no task holds more than two parts, and each
 of its rows instead of all pairs. Components of these links come from alternating large-star and small-star rounds
 over written tables.
 
-64 bits are too few to tell texts that share four fifths of their shingles from others, so ``similar_groups`` adds
-links of wide fingerprints: ``WIDE`` bits of the set of five-word shingles. Two sets of similarity s (Jaccard) have a
-cosine near 2s / (1 + s), and the share of differing bits estimates its angle. Texts link if that share is at most
-the one expected at ``similarity`` and ``margin`` standard errors more. Such links differ in too many bits for
-blocks that agree; they show in buckets of chosen bits, as many choices as make the chance to miss a pair of just
-that similarity ``MISS``.
+64 bits are too few to tell texts that share four fifths of their shingles from others. ``wide_links`` compares wide
+fingerprints, ``WIDE`` bits of the set of five-word shingles, in the same way. Two sets of similarity s (Jaccard) have
+a cosine near 2s / (1 + s), and the share of differing bits estimates its angle. Candidates are pairs whose share is at
+most the one expected at ``similarity`` and ``margin`` standard errors more. They differ in too many bits for blocks
+that agree; they show in buckets of chosen bits, as many choices as make the chance to miss a pair of just that
+similarity ``MISS``. ``strata.llm.similar`` links only those whose sets are that similar.
 
 Defined results: a null text is an empty one and has fingerprint zero; zero links like any other fingerprint; rows
 with equal ``doc_id`` count one by one; a null ``doc_id`` never becomes a component's id unless all of its
@@ -34,13 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import column, free_name, ready, remove, new_path, steps, utf8, written
+from strata.llm.common import column, new_path, ready, remove, utf8, written
 
 BITS, SEED = 64, 42
 #: Tasks that the rows of one hub or component are dealt to where they are joined.
 SALTS = 8
-#: Bits of a wide fingerprint, rows that a bucket of unrelated ones should have at most, and the chance to miss a link.
-WIDE, BUCKET, MISS = 512, 512, 0.02
+#: A key with more than one in so many rows is hot.
+HOT_SHARE = 1000
+#: Bits of a wide fingerprint, rows that a bucket of unrelated ones should have at most, and the chance that a pair of
+#: just the similarity asked for shares no bucket.
+WIDE, BUCKET, MISS = 512, 512, 0.001
 
 
 def shingle_hashes(text: bytes, words: int = 4) -> np.ndarray:
@@ -94,22 +97,12 @@ def wide_fingerprint(hashes: np.ndarray, bits: int = WIDE) -> bytes:
     return np.packbits(2 * counts.reshape(-1) > len(distinct), bitorder="little").tobytes()
 
 
-def wide_fingerprints(docs: DataFrame, text: str = "text", into: str = "wide", words: int = 5) -> DataFrame:
-    """``docs`` with the wide fingerprint of its text as a binary column."""
-
-    def of(column: pd.Series) -> pd.Series:
-        return pd.Series([wide_fingerprint(shingle_hashes(t, words)) for t in column.tolist()], dtype=object)
-
-    ready(docs.sparkSession)
-    return docs.withColumn(into, F.pandas_udf(of, "binary")(utf8(column(docs, text))))
-
-
 def differing(similarity: float) -> float:
     """The share of bits in which sets of this similarity are expected to differ."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def wide_radius(similarity: float = 0.8, margin: float = 1.5, bits: int = WIDE) -> int:
+def wide_radius(similarity: float = 0.8, margin: float = 3.1, bits: int = WIDE) -> int:
     """The distance up to which wide fingerprints link."""
     share = differing(similarity)
     return round(bits * share + margin * math.sqrt(bits * share * (1 - share)))
@@ -192,10 +185,11 @@ def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return labels
 
 
-def forest(groups: np.ndarray, rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(groups: np.ndarray, rows: np.ndarray, radius: int, sizes: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Links (place of a row, place of its root) that join all rows of equal group number within reach.
 
-    Groups are contiguous; a row is one 64-bit word or several.
+    Groups are contiguous; a row is one 64-bit word or several. Where the sizes of the rows' sets are given, pairs whose
+    sizes alone rule the similarity out don't link.
     """
     n = len(rows)
     labels = np.arange(n)
@@ -219,7 +213,11 @@ def forest(groups: np.ndarray, rows: np.ndarray, radius: int) -> tuple[np.ndarra
         open_ = (lanes[word] >= shift[:, None]) & (labels[row] != labels[np.minimum(row + shift[:, None], n - 1)])
         some = open_.any(1)
         valid = np.ascontiguousarray(np.packbits(open_[some], axis=1, bitorder="little")).view("<u8").ravel()
-        labels = joined(labels, *comparison.within(word[some], shift[some], valid))
+        a, b = comparison.within(word[some], shift[some], valid)
+        if sizes is not None:
+            fit = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-9
+            a, b = a[fit], b[fit]
+        labels = joined(labels, a, b)
     linked = np.flatnonzero(labels != np.arange(n))
     return linked, labels[linked]
 
@@ -237,8 +235,8 @@ def links(distinct: DataFrame, radius: int = 4, max_block: int = 2048) -> DataFr
     return bucket_links(keys, radius, max_block, rows * len(masks) // 2_000_000)
 
 
-def wide_links(distinct: DataFrame, similarity: float = 0.8, margin: float = 1.5, max_block: int = 4096) -> DataFrame:
-    """Links (a, b) between the nodes of distinct wide fingerprints, (node, wide), that are within the radius."""
+def wide_links(distinct: DataFrame, similarity: float = 0.8, margin: float = 3.1, max_block: int = 4096) -> DataFrame:
+    """Candidates (a, b) whose components hold all pairs of (node, size, wide) within the radius that the sizes allow."""
     rows = distinct.count()
     chosen = bands(rows, similarity)
     weights = 1 << np.arange(chosen.shape[1], dtype=np.int64)
@@ -248,14 +246,15 @@ def wide_links(distinct: DataFrame, similarity: float = 0.8, margin: float = 1.5
         return pd.Series(list(np.column_stack([bits[:, c] @ weights for c in chosen])), dtype=object)
 
     ready(distinct.sparkSession)
-    keys = distinct.select("node", "wide", F.posexplode(F.pandas_udf(of, "array<long>")("wide")).alias("choice", "bits"))
-    return bucket_links(keys.select("choice", "bits", "node", "wide"), wide_radius(similarity, margin), max_block, rows * len(chosen) // 500_000)
+    keys = distinct.select("node", "size", "wide", F.posexplode(F.pandas_udf(of, "array<long>")("wide")).alias("choice", "bits"))
+    return bucket_links(keys.select("choice", "bits", "node", "size", "wide"), wide_radius(similarity, margin), max_block, rows * len(chosen) // 500_000, similarity)
 
 
-def bucket_links(keys: DataFrame, radius: int, max_block: int, tasks: int) -> DataFrame:
-    """Links (a, b) within the buckets (choice, bits) of ``keys``: the first two columns, then the node and its
-    fingerprint, or the fingerprint alone."""
+def bucket_links(keys: DataFrame, radius: int, max_block: int, tasks: int, similarity: float = 0.0) -> DataFrame:
+    """Links (a, b) within the buckets (choice, bits) of ``keys``: the first two columns, then the node, its set's size
+    and its fingerprint, or the fingerprint alone."""
     node, last = keys.columns[2], keys.columns[-1]
+    sized = "size" in keys.columns
     # large buckets are few: at most rows * choices / max_block, and only their keys are joined back
     large = keys.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > max_block)
     parts = F.ceil(F.col("n") / F.lit(max_block // 2)).cast("int")
@@ -264,7 +263,7 @@ def bucket_links(keys: DataFrame, radius: int, max_block: int, tasks: int) -> Da
     pairs = F.when(F.col("n").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(other, lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j")))
     )
-    dealt = keys.join(large, ["choice", "bits"], "left").select(*keys.columns, F.explode(pairs).alias("part"))
+    dealt = salted(large, keys, ["choice", "bits"], last, "left").select(*keys.columns, F.explode(pairs).alias("part"))
     group = F.xxhash64("choice", "bits", "part.i", "part.j")
     dealt = dealt.select(group.alias("bucket"), "choice", "bits", F.col("part.i").alias("i"), F.col("part.j").alias("j"), *keys.columns[2:])
     tasks = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks)
@@ -286,7 +285,7 @@ def bucket_links(keys: DataFrame, radius: int, max_block: int, tasks: int) -> Da
             end = len(held) if batch is None else int(np.flatnonzero(change)[-1])
             prints = held[last].iloc[:end]
             rows = np.frombuffer(b"".join(prints), "<u8").reshape(end, -1) if prints.dtype == object else prints.to_numpy().astype(np.int64).view(np.uint64)
-            a, b = forest(groups[:end], rows, radius)
+            a, b = forest(groups[:end], rows, radius, held["size"].to_numpy()[:end] if sized else None, similarity)
             nodes = held[node].to_numpy()[:end]
             held = held.iloc[end:]
             if len(a):
@@ -295,12 +294,26 @@ def bucket_links(keys: DataFrame, radius: int, max_block: int, tasks: int) -> Da
     return dealt.mapInPandas(compare, "a long, b long").filter("a <> b").distinct()
 
 
-def salted(one: DataFrame, many: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+def salted(one: DataFrame, many: DataFrame, key: str | list[str], by: str, how: str = "inner") -> DataFrame:
     """``many`` joined with ``one``, which has one row for each key: the rows of ``many`` of one key are dealt by a hash
     of ``by``, and the row of ``one`` stands in each of the parts."""
     parts = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    return dealt.join(parts, [key, "salt"], how).drop("salt")
+    return dealt.join(parts, [*([key] if isinstance(key, str) else key), "salt"], how).drop("salt")
+
+
+def hot_salted(one: DataFrame, many: DataFrame, key: str, by: str, rows: str, how: str = "inner") -> DataFrame:
+    """``salted`` for a large ``one``, which says in ``rows`` how many rows of ``many`` each key has.
+
+    Only hot keys stand in several parts: those with more than a ``HOT_SHARE``-th of all rows, of which there are fewer
+    than ``HOT_SHARE``, so their list is small enough to broadcast whatever the tables' sizes.
+    """
+    total = one.agg(F.sum(rows)).first()[0] or 0
+    hot = F.broadcast(one.filter(F.col(rows) * HOT_SHARE > F.lit(total)).select(F.col(key).alias("hot_key")))
+    parts = one.withColumn("salt", F.explode(F.when(F.col(rows) * HOT_SHARE > F.lit(total), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    dealt = many.join(hot, many[key] == F.col("hot_key"), "left")
+    dealt = dealt.withColumn("salt", F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("hot_key")
+    return dealt.join(parts.drop(rows), [key, "salt"], how).drop("salt")
 
 
 def component_ids(distinct: DataFrame, roots: DataFrame, node: str) -> DataFrame:
@@ -344,45 +357,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, fingerprint long, component_id) for each row of ``docs``."""
     own = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text"))
     prints = written(fingerprints(own, words=words).select("doc_id", "fingerprint"), "fingerprints")
-    distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct.select("fingerprint"), radius))
-    of = written(component_ids(distinct, roots, "fingerprint").select("fingerprint", "component_id"), "components")
-    return prints.join(of, "fingerprint").select("doc_id", "fingerprint", "component_id")
-
-
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, radius: int = 4) -> DataFrame:
-    """(doc_id, component_id) for each row of ``docs``: components of the links of ``near_duplicates`` together with
-    those of five-word shingles whose similarity is ``similarity`` or more."""
-    own = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text"))
-    prints = written(wide_fingerprints(fingerprints(own)).select("doc_id", "fingerprint", "wide"), "wide-fingerprints")
-    distinct = prints.groupBy("fingerprint", "wide").agg(F.min("doc_id").alias("least"))
-    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    edges = None
-    for name, found in (("fingerprint", lambda x: links(x, radius)), ("wide", lambda x: wide_links(x, similarity))):
-        # one node stands for all of an equal fingerprint, and the others are linked to it
-        first = written(distinct.groupBy(name).agg(F.min("node").alias("node")), "first")
-        equal = distinct.select(name, F.col("node").alias("a")).join(first.select(name, F.col("node").alias("b")), name).filter("a <> b").select("a", "b")
-        both = found(first).unionByName(equal)
-        edges = both if edges is None else edges.unionByName(both)
-    roots = components(edges)
-    of = written(component_ids(distinct, roots, "node").select("fingerprint", "wide", "component_id"), "components")
-    return prints.join(of, ["fingerprint", "wide"]).select("doc_id", "component_id")
-
-
-def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, radius: int = 4) -> DataFrame:
-    """One document of each component of ``similar_groups``: that of the least ``doc_id``; where several rows have it, one of them.
-
-    Rows without a ``doc_id`` can't be told apart and stay.
-    """
-    groups = similar_groups(docs, doc_id, text, similarity, radius)
-    name = free_name(docs, "group_id")
-    # what goes, once for each id; an id of several rows has one row of the least among them and needs a second look
-    counts = written(groups.groupBy("doc_id").agg(F.min("component_id").alias(name), F.count("*").alias("n")), "group")
-    gone = counts.filter(F.col("doc_id") > F.col(name)).select(F.col("doc_id").alias(name))
-    # the ids that go grow with the input, so they are not broadcast
-    kept = docs.join(gone.hint("merge"), column(docs, doc_id) == gone[name], "left_anti")
-    twice = counts.filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias(name))
-    if not twice.head(1):
-        return kept
-    again = kept.join(twice, column(kept, doc_id) == twice[name], "left_semi").dropDuplicates([doc_id])
-    return kept.join(twice, column(kept, doc_id) == twice[name], "left_anti").unionByName(again)
+    of = written(component_ids(distinct, roots, "fingerprint").select("fingerprint", "n", "component_id"), "components")
+    # a fingerprint may have any share of the rows: empty texts, boilerplate
+    return hot_salted(of, prints, "fingerprint", "doc_id", "n").select("doc_id", "fingerprint", "component_id")

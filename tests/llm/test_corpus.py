@@ -1,5 +1,6 @@
 """Near-duplicates, mixing, token files and the pipeline against plain Python."""
 
+import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from strata.llm import mixing, quality_rules, simhash, tokens
+from strata.llm import mixing, quality_rules, similar, simhash, tokens
 from strata.llm.queries import op1_mixing, op7_tokens, op9_simhash, tokenizer_path
 from tests.llm.test_text_scans import Folder, contamination, quality_base
 
@@ -58,24 +59,34 @@ def groups(prints, radius=4):
     return {p: find(p) for p in distinct}
 
 
-def similar_roots(texts):
-    """The root of each text: those of near fingerprints, or of near wide ones, are one component."""
-    prints, wides = list(map(fingerprint, texts)), list(map(wide_fingerprint, texts))
-    by_print, by_wide = groups(prints), groups(wides, simhash.wide_radius())
-    seen, root = {}, list(range(len(texts)))
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def similar_roots(texts, similarity=0.8):
+    """The root of each text: components of all pairs whose five-word shingles are that similar."""
+    sets, root = [set(shingles(t, 5)) for t in texts], list(range(len(texts)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i, keys in enumerate(zip(prints, wides, strict=True)):
-        for key in (("print", by_print[keys[0]]), ("wide", by_wide[keys[1]])):
-            a, b = sorted((find(i), find(seen.setdefault(key, i))))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if min(len(sets[i]), len(sets[j])) >= similarity * max(len(sets[i]), len(sets[j])) and jaccard(sets[i], sets[j]) >= similarity:
+            a, b = sorted((find(i), find(j)))
             root[b] = a
     return [find(i) for i in range(len(texts))]
 
 
+def partition(labels):
+    """Which things are together, whatever the labels; ``labels`` is a dict."""
+    out = defaultdict(set)
+    for k, v in labels.items():
+        out[v].add(k)
+    return {frozenset(v) for v in out.values()}
+
+
 @pytest.mark.parametrize("which", ["docs", "odd", "clashing", "empty"])
 def test_simhash(spark, request, tmp_path, which):
     df = request.getfixturevalue(which)
@@ -129,17 +140,56 @@ def varied(random, n_families=30, alone=120):
 
 
 def test_similar_texts_meet(spark):
+    """Groups are those of all pairs compared exactly: no link is lost, and none is made below the similarity."""
     rows = varied(np.random.default_rng(3))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
-    sets = {i: set(shingles(t, 5)) for i, t in rows}
-    pairs = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in sets for b in sets if a < b]
-    near = [(a, b) for a, b, s in pairs if s >= 0.8]
-    assert len(near) > 30 and sum(got[a] == got[b] for a, b in near) >= 0.95 * len(near)
-    assert all(got[a] == got[b] for a, b, s in pairs if s >= 0.87)
-    assert not any(got[a] == got[b] for a, b, s in pairs if s < 0.1)
-    kept = {r["doc_id"] for r in simhash.kept_documents(df).collect()}
-    assert kept == {got[i] for i in got}
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(df).collect()}
+    want = dict(zip((i for i, _ in rows), similar_roots([t for _, t in rows]), strict=True))
+    assert len(partition(want)) < len(rows) - 30 and partition(got) == partition(want)
+    assert {r["doc_id"] for r in similar.kept_documents(df).collect()} == {min(g) for g in partition(want)}
+
+
+def chain(random, n=60, words=400, step=12):
+    """Texts each of which is much like the next one and unlike those far away."""
+    text = [f"w{i}" for i in range(words)]
+    out = []
+    for k in range(n):
+        at = (k * step) % (words - step)
+        text = text[:at] + [f"x{k}_{i}" for i in range(step)] + text[at + step :]
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 14, 1 << 24])
+def test_exact_links_in_parts(spark, block_bytes):
+    """Dense groups, chains and failed candidates keep every link, in one block or in pairs of many parts."""
+    random = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(200)]
+    near = []
+    for _ in range(80):
+        words = list(base)
+        for at in random.choice(200, random.integers(1, 9), replace=False):
+            words[at] = f"y{random.integers(10_000)}"
+        near.append(" ".join(words))
+    texts = near + chain(random) + [" ".join(random.choice(base, 150)) for _ in range(20)]
+    sets = [similar.shingle_set(t.encode()) for t in texts]
+    df = spark.createDataFrame([(0, i, bytearray(x.astype("<u8").tobytes())) for i, x in enumerate(sets)], "root long, node long, held binary")
+    got = {r["node"]: r["root"] for r in simhash.components(similar.exact_links(df, block_bytes=block_bytes)).collect()}
+    want = similar_roots(texts)
+    assert 20 < len(set(want)) < len(texts) - 60
+    assert partition({i: got.get(i, i) for i in range(len(texts))}) == partition(dict(enumerate(want)))
+
+
+def test_exact_forest():
+    random = np.random.default_rng(1)
+    sets = [np.unique(random.integers(0, 40, random.integers(0, 30)).astype(np.uint64)) for _ in range(200)]
+    a, b = similar.exact_forest(sets, 0.5)
+    got = dict(enumerate(range(200))) | dict(zip(a.tolist(), b.tolist(), strict=True))
+    root = list(range(200))
+    for i, j in itertools.combinations(range(200), 2):
+        if jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.5 and root[i] != root[j]:
+            root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert partition(got) == partition(dict(enumerate(root)))
 
 
 @pytest.mark.parametrize("block", [8, 4096])
@@ -153,12 +203,33 @@ def test_wide_links_lose_no_dense_group(spark, block):
         words[random.integers(300)] = f"x{random.integers(10_000)}"
         texts.append(" ".join(words))
     texts += [" ".join(f"y{random.integers(5000)}" for _ in range(100)) for _ in range(50)]
-    wides = [simhash.wide_fingerprint(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
-    df = spark.createDataFrame(list(enumerate(wides)), "node long, wide binary")
+    sets = [similar.shingle_set(t.encode()) for t in texts]
+    df = spark.createDataFrame([(i, len(x), bytearray(simhash.wide_fingerprint(x))) for i, x in enumerate(sets)], "node long, size long, wide binary")
     got = {r["node"]: r["root"] for r in simhash.components(simhash.wide_links(df, max_block=block)).collect()}
     assert got == {i: 0 for i in range(1, 150)}  # the root itself is not listed
 
 
+def test_rows_not_ids_are_kept(spark):
+    """Rows of one id with different texts stay; of equal texts one row stays, with the least id, null last."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (2, text("c")), (None, text("d")), (None, text("d")), (None, text("b")), (3, None), (4, ""), (5, text("a") + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter(tuple(r) for r in similar.kept_documents(df.union(df.limit(0))).collect())
+    assert kept == Counter([(1, text("a")), (2, text("b")), (2, text("c")), (None, text("d")), (3, None)])
+
+
+def test_hot_keys_are_dealt_out(spark):
+    """A third of the rows are one text: each row still has its result, and the join's hot key stands in several parts."""
+    rows = [(i, "calm sea " * 30 if i % 3 == 0 else f"word{i} " * 20) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert len(found) == 900 and {found[i] for i in range(0, 900, 3)} == {0}
+    one = spark.createDataFrame([("hot", 900, 7), *((f"k{i}", 1, i) for i in range(2000))], "key string, n long, v long")
+    many = spark.createDataFrame([("hot", i) for i in range(900)] + [(f"k{i}", i) for i in range(2000)], "key string, i long")
+    out = simhash.hot_salted(one, many, "key", "i", "n")
+    assert out.count() == 2900 and out.filter("key = 'hot' and v = 7").count() == 900
+
+
 def poisson(mean, u):
     k, term, cdf = 0, math.exp(-mean), math.exp(-mean)
     while cdf <= u:
