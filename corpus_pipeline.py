@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import decontaminate, mixing, quality_rules, simhash, tokens
+from strata.llm import decontaminate, mixing, quality_rules, similar, tokens
 from strata.llm.common import free_name, new_path, table
 from strata.llm.queries import tokenizer_path
 
@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates: one document of each group stays."""
-    return simhash.kept_documents(docs)
+    return similar.kept_documents(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
