@@ -10,7 +10,8 @@ its range of keys as segments; a segment is one file:
     length of the header, 8 bytes little-endian, and magic
 
 A block of little-endian 32-bit ids is transposed into four byte planes, or into 32 bit planes; high planes hold
-little but zeros and compress to almost nothing. Files are written by Spark's own writer, one file a row, so a lost
+little but zeros and compress to almost nothing. Blocks are compressed as they fill, so a task holds a segment's file
+and one block. Files are written by Spark's own writer, one file a row, so a lost
 executor's files are committed once, and read by the ``binaryFile`` source; what follows the second magic (a line
 end) is no part of the segment. A document with more ids than a segment may hold goes on in the next segments.
 
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import column, new_path, ready
 
-MAGIC, BLOCK, SEGMENT_IDS, END_ID = b"STRTIDS1", 1 << 16, 1 << 22, 0
+MAGIC, BLOCK, SEGMENT_IDS, END_ID = b"STRTIDS1", 1 << 16, 1 << 24, 0
 #: Code points below this one are letters, numbers, white space or others in all Unicode versions alike.
 SURE = 0x250
 
@@ -61,17 +62,45 @@ def from_planes(planes: list[bytes], n: int, plane: str) -> np.ndarray:
     return np.ascontiguousarray(rows.T).view("<u4").ravel()
 
 
+class Packer:
+    """A segment that grows: ids are compressed as their block fills, so what is held is little more than the file."""
+
+    def __init__(self, plane: str = "byte", level: int = 3):
+        self.plane, self.compressor = plane, zstandard.ZstdCompressor(level=level)
+        self.parts, self.chunks, self.at, self.size = [MAGIC], [], len(MAGIC), 0
+        self.held, self.held_size = [], 0
+
+    def add(self, ids: bytes) -> None:
+        self.held.append(ids)
+        self.held_size += len(ids)
+        self.size += len(ids) // 4
+        if self.held_size >= 4 * BLOCK:
+            raw = b"".join(self.held)
+            whole = len(raw) // (4 * BLOCK) * 4 * BLOCK
+            for i in range(0, whole, 4 * BLOCK):
+                self.compress(raw[i : i + 4 * BLOCK])
+            self.held, self.held_size = [raw[whole:]], len(raw) - whole
+
+    def compress(self, raw: bytes) -> None:
+        block = np.frombuffer(raw, "<u4")
+        planes = [self.compressor.compress(p.tobytes()) for p in to_planes(block, self.plane)]
+        self.chunks.append([self.at, len(block), list(map(len, planes))])
+        self.at += sum(map(len, planes))
+        self.parts += planes
+
+    def segment(self, header: dict) -> bytes:
+        """The whole segment; ``header`` gets the chunk index."""
+        if self.held_size:
+            self.compress(b"".join(self.held))
+        head = self.compressor.compress(json.dumps(header | {"plane": self.plane, "chunks": self.chunks}).encode())
+        return b"".join([*self.parts, head, len(head).to_bytes(8, "little"), MAGIC])
+
+
 def pack(ids: np.ndarray, header: dict, plane: str = "byte", level: int = 3) -> bytes:
-    """A segment of these ids; ``header`` gets the chunk index."""
-    compressor, parts, chunks, at = zstandard.ZstdCompressor(level=level), [MAGIC], [], len(MAGIC)
-    for i in range(0, len(ids), BLOCK):
-        block = ids[i : i + BLOCK]
-        planes = [compressor.compress(p.tobytes()) for p in to_planes(block, plane)]
-        chunks.append([at, len(block), list(map(len, planes))])
-        at += sum(map(len, planes))
-        parts += planes
-    head = compressor.compress(json.dumps(header | {"plane": plane, "chunks": chunks}).encode())
-    return b"".join([*parts, head, len(head).to_bytes(8, "little"), MAGIC])
+    """A segment of these ids."""
+    packer = Packer(plane, level)
+    packer.add(ids.astype("<u4").tobytes())
+    return packer.segment(header)
 
 
 def header(segment: bytes) -> dict:
@@ -152,11 +181,13 @@ class Encoder:
     """A byte-level BPE of the tokenizers library, with ids remembered by piece of text.
 
     Such a tokenizer splits text by a pattern and merges within the pieces only. For texts without rare characters
-    the split is vectorised here and the library merges each piece that isn't remembered. Pieces are known by a hash
-    of 64 bits of up to ``LONGEST`` characters (random numbers by character, so two of millions of pieces meet
-    with a chance near 1e-7); longer ones go to the library each time. Texts with a code point of ``SURE`` or above
-    are cut before single spaces between other characters, which is a cut of the pattern too, and the library splits
-    and merges each part that isn't remembered.
+    the split is vectorised here and the library merges each piece that isn't remembered. Pieces are looked up by a
+    hash of 64 bits of up to ``LONGEST`` characters and then compared character by character: with the first one of
+    that hash in the batch, and that one with what is remembered. A text with a piece that only its hash has in common
+    goes to the library as a whole, as longer pieces do each time. Texts with a code point of ``SURE`` or above are cut
+    before single spaces between other characters, which is a cut of the pattern too, and the library splits and merges
+    each part that isn't remembered. The library takes the names of special tokens out of a text before it is split, so
+    texts with such a name go to it as they are.
     """
 
     RARE = re.compile(rf"[{chr(SURE)}-\U0010FFFF]")
@@ -170,10 +201,10 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.named = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         # the same merges for pieces whose bytes are named already, one a line
         self.merger = Tokenizer.from_file(path)
-        self.merger.encode_special_tokens = True
         self.merger.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
         printable = [c for c in range(256) if chr(c).isprintable() and chr(c) != " " and c != 0xAD]
         others = (c for c in range(256) if c not in set(printable))
@@ -190,6 +221,7 @@ class Encoder:
     def forget(self) -> None:
         self.hashes, self.entries = np.empty(0, np.uint64), np.empty(0, np.int64)  # sorted by hash
         self.ids, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)  # entry e has ids[at[e]:at[e + 1]]
+        self.points, self.points_at = np.empty(0, np.uint16), np.zeros(1, np.int64)  # and these characters
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -214,6 +246,8 @@ class Encoder:
         new = np.arange(len(hashes)) + len(self.at) - 1
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lens)])
         self.ids = np.concatenate([self.ids, ids])
+        self.points = np.concatenate([self.points, np.frombuffer("".join(pieces).encode("utf-16-le"), np.uint16)])
+        self.points_at = np.concatenate([self.points_at, self.points_at[-1] + np.cumsum(list(map(len, pieces)))])
         order = np.argsort(hashes)
         where = np.searchsorted(self.hashes, hashes[order])
         self.hashes, self.entries = np.insert(self.hashes, where, hashes[order]), np.insert(self.entries, where, new[order])
@@ -256,6 +290,7 @@ class Encoder:
             where, there = self.places(distinct)
         entry = np.zeros(len(distinct), np.int64)
         entry[there] = self.entries[where[there]]
+        odd = self.differing(points, starts, sizes, sample, codes, entry, there)
         entry = entry[codes]
         begins, lens, ids = self.at[entry], self.at[entry + 1] - self.at[entry] if len(self.at) > 1 else np.zeros(len(entry), np.int64), self.ids
         if not short.all():
@@ -267,7 +302,30 @@ class Encoder:
         to = np.cumsum(lens)
         raw = ids[np.repeat(begins - to + lens, lens) + np.arange(to[-1])].astype("<u4").tobytes()
         cut = np.concatenate([[0], to])[np.searchsorted(starts, np.concatenate([[0], ends]))] * 4
-        return [raw[a:b] for a, b in itertools.pairwise(cut.tolist())]
+        out = [raw[a:b] for a, b in itertools.pairwise(cut.tolist())]
+        for i in np.unique(np.searchsorted(ends, starts[odd], side="right")).tolist():
+            out[i] = self.direct([texts[i]])[0]
+        return out
+
+    def differing(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, sample: np.ndarray, codes: np.ndarray, entry: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """The pieces that are not what their hash stands for: others than its sample, or a sample other than what is
+        remembered. ``entry`` is by hash, and ``there`` says which hashes are remembered."""
+        same = sizes == sizes[sample[codes]]
+        begins = np.cumsum(sizes) - sizes
+        shift = np.where(same, starts[sample[codes]] - starts, 0)
+        equal = points[np.repeat(shift, sizes) + np.arange(len(points))] == points
+        same &= np.logical_and.reduceat(equal, begins)
+        held = np.flatnonzero(there)
+        of, n = entry[held], sizes[sample[held]]
+        known = np.zeros(len(there), bool)
+        known[~there] = True
+        fits = self.points_at[of + 1] - self.points_at[of] == n
+        held, of, n = held[fits], of[fits], n[fits]
+        if len(held):
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            equal = points[np.repeat(starts[sample[held]], n) + at] == self.points[np.repeat(self.points_at[of], n) + at]
+            known[held] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+        return np.flatnonzero(~(same & known[codes]))
 
     def encode_parts(self, texts: list[str]) -> list[bytes]:
         parts = [self.PART.findall(t) for t in texts]
@@ -283,7 +341,8 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         sure, parts, whole = [], [], []
         for i, t in enumerate(texts):
-            (sure if t.isascii() or not self.RARE.search(t) else whole if self.CONTROL.search(t) else parts).append(i)
+            special = self.named is not None and self.named.search(t)
+            (whole if special else sure if t.isascii() or not self.RARE.search(t) else whole if self.CONTROL.search(t) else parts).append(i)
         for at, encode in ((sure, self.encode_sure), (parts, self.encode_parts), (whole, self.direct)):
             for i, ids in zip(at, encode([texts[i] for i in at]), strict=True):
                 out[i] = ids
@@ -310,29 +369,26 @@ def write_tokens(
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, shard = Encoder.of(tokenizer) if isinstance(tokenizer, str) else tokenizer(), TaskContext.get().partitionId()
         end, segment = np.array([END_ID], "<u4").tobytes(), 0
-        held: list[bytes] = []
-        size, entries = 0, []
+        packer, entries = Packer(plane), []
 
         def cut() -> pd.DataFrame:
-            nonlocal segment, size
-            ids = np.frombuffer(b"".join(held), "<u4")
-            blob = pack(ids, {"shard": shard, "segment": segment, "documents": list(entries)}, plane)
-            held.clear(), entries.clear()
-            segment, size = segment + 1, 0
+            nonlocal segment, packer
+            blob = packer.segment({"shard": shard, "segment": segment, "documents": list(entries)})
+            entries.clear()
+            segment, packer = segment + 1, Packer(plane)
             return pd.DataFrame({"segment": [blob]})
 
         def dealt(ids: list[str], texts: list[str]) -> Iterator[pd.DataFrame]:
-            nonlocal size
             for name, found in zip(ids, encoder.encode(texts), strict=True):
                 found += end
                 first = 1
                 while found:
-                    room = 4 * (SEGMENT_IDS - size)
+                    room = 4 * (SEGMENT_IDS - packer.size)
                     part, found = found[:room], found[room:]
-                    held.append(part)
+                    packer.add(part)
                     entries.append([name, len(part) // 4, first])  # first: 1 where the document begins
-                    size, first = size + len(part) // 4, 0
-                    if size >= SEGMENT_IDS:
+                    first = 0
+                    if packer.size >= SEGMENT_IDS:
                         yield cut()
 
         for batch in batches:
@@ -348,7 +404,8 @@ def write_tokens(
             yield cut()
 
     segments = rows.mapInPandas(encode, "segment binary")
-    # the text writer copies the bytes as they are; with one record a file, each segment is a file
+    # the cast checks and changes no byte, and the text writer copies them as they are (the round trip is tested with
+    # bytes that are no UTF-8); with one record a file, each segment is a file
     segments.select(F.col("segment").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 

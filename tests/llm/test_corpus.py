@@ -306,6 +306,24 @@ def test_encoder_equals_the_library():
     assert encoder.encode(texts) == encoder.direct(texts)
 
 
+def test_names_of_special_tokens(spark, tokenizer):
+    """A text that holds a special token's name gets that token's id, as the library says."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "é<|endoftext|><|endoftext|> x", "<|ENDOFTEXT|>", "< |endoftext|>", "中 <|endoftext|>"]
+    assert np.frombuffer(tokens.Encoder(tokenizer_path()).encode(texts)[0], "<u4").tolist() == [64, 220, 50256, 275]
+    rows = tokens.tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer_path()).collect()
+    assert {int(r["doc_id"]): r["ids_crc32"] for r in rows} == {i: zlib.crc32(encoded(t, tokenizer)) for i, t in enumerate(texts)}
+
+
+def test_pieces_of_equal_hash(tokenizer):
+    """Pieces that only share their hash are told apart, within a batch and against what is remembered."""
+    encoder = tokens.Encoder(tokenizer_path())
+    encoder.random = np.ones(tokens.SURE, np.uint64)  # all pieces of one length have one hash
+    texts = ["calm sea, deep sky", "over the dark hill", "", "calm", "dark", "x" * 70]
+    for _ in range(2):
+        for batch in (texts, texts[::-1], ["dark calm"], ["warm"]):
+            assert encoder.encode(batch) == [encoded(t, tokenizer)[:-4] for t in batch]
+
+
 def encoded(text, tokenizer):
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
 
@@ -314,9 +332,7 @@ def encoded(text, tokenizer):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 @pytest.mark.parametrize("which", ["docs", "odd", "clashing", "empty"])
