@@ -5,13 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step holds at once; one longer text is a step of its own.
 STEP_CHARS = 3_000_000
+#: Parts that the rows of one key are dealt to where they are joined.
+SALTS = 8
+#: A key with more than one in so many rows is hot.
+HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,6 +75,33 @@ def column(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def salted(one: DataFrame, many: DataFrame, key: str | list[str], by: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has one row for each key: the rows of ``many`` of one key are dealt by a hash
+    of ``by``, and the row of ``one`` stands in each of the parts."""
+    parts = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return dealt.join(parts, [*([key] if isinstance(key, str) else key), "salt"], how).drop("salt")
+
+
+def hot_salted(one: DataFrame, many: DataFrame, key: str, by: str, rows: str, how: str = "inner") -> DataFrame:
+    """``salted`` for a large ``one``, which says in ``rows`` how many rows of ``many`` each key has.
+
+    Only hot keys stand in several parts: those with more than a ``HOT_SHARE``-th of all rows, of which there are fewer
+    than ``HOT_SHARE``, so their list is small enough to broadcast whatever the tables' sizes.
+    """
+    total = one.agg(F.sum(rows)).first()[0] or 0
+    hot = F.broadcast(one.filter(F.col(rows) * HOT_SHARE > F.lit(total)).select(F.col(key).alias("hot_key")))
+    parts = one.withColumn("salt", F.explode(F.when(F.col(rows) * HOT_SHARE > F.lit(total), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    dealt = many.join(hot, many[key] == F.col("hot_key"), "left")
+    dealt = dealt.withColumn("salt", F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("hot_key")
+    return dealt.join(parts.drop(rows), [key, "salt"], how).drop("salt")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it stands in there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def utf8(text: Column) -> Column:
     """The text's UTF-8 bytes; null is empty."""
     return F.coalesce(text.cast("binary"), F.lit(b""))

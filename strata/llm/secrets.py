@@ -3,11 +3,14 @@
 Every version of every path is content-addressed by the SHA-256 of its text. The ledger is a table of the blobs that
 have been scanned, by hash and rule version, with their findings. A scan takes one row for each blob that the ledger
 doesn't have under the current rule version, finds the spans of each rule, appends to the ledger, and joins the
-ledger back to all paths. Copies and unchanged versions are never scanned again, and a change of the rules scans
-each blob once more.
+ledger back to all paths. Spans of copies and unchanged versions are never sought again, and a change of the rules
+scans each blob once more. Texts in which no rule matches are told where they lie, by one expression of all rules, and
+only hashes of them move; the few others meet by hash, so that one of each is scanned.
 
 A rule's matches are leftmost and do not overlap; their offsets follow from the pieces between them, as regular
-expressions of SQL return texts without places. Offsets are code points, ends exclusive.
+expressions of SQL return texts without places. Lengths are added up in runs of ``RUN`` matches, the runs' totals and
+then within each run, so the time grows with the number of matches and not with its square. Offsets are code points,
+ends exclusive. Paths are joined with the findings in parts, as one blob may have any share of them.
 
 Defined results: a null text is an empty one, without findings; a null path is a path; repeated rows get equal
 findings; an empty table gives an empty result; texts of any length are scanned whole; other columns of the input
@@ -21,7 +24,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import column, new_path, remove
+from strata.llm.common import column, let, new_path, remove, salted
 
 #: Kind, pattern, the group whose length counts and its least length. The first three are the base.
 RULES = (
@@ -35,6 +38,8 @@ RULES = (
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
 )
 BASE = ("assign", "access", "hex")
+SPAN = "struct<start: long, rank: int, kind: string, end: long>"
+RUN = 128
 
 
 def rule_version(rules=RULES) -> str:
@@ -45,21 +50,46 @@ def rule_version(rules=RULES) -> str:
 def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """The spans of one rule: an array of (start, place of the kind, kind, end)."""
     order = [r[0] for r in RULES].index(kind) if kind in [r[0] for r in RULES] else len(RULES)
-    shape = "array<struct<start: long, rank: int, kind: string, end: long>>"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = F.split(text, pattern, -1)
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(shape).alias("out"))
+    items = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match"), counted.alias("counted"))
+    # what follows the last match is no gap
+    sizes = F.transform(
+        F.filter(items, lambda x: x["match"].isNotNull()),
+        lambda x: F.struct(F.char_length(x["gap"]).cast("long").alias("gap"), F.char_length(x["match"]).cast("long").alias("size"), (F.char_length(x["counted"]) >= least).alias("counts")),
+    )
+    zero = F.lit(0).cast("long")
+
+    def begins(runs: Column) -> Column:
+        """Where each run of matches begins in the text."""
+        total = lambda run: F.aggregate(run, zero, lambda a, x: a + x["gap"] + x["size"])
+        state = F.struct(zero.alias("at"), F.array().cast("array<long>").alias("out"))
+        step = lambda s, run: F.struct((s["at"] + total(run)).alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
+        return F.aggregate(runs, state, step, lambda s: s["out"])
+
+    def within(run: Column, at: Column) -> Column:
+        """The spans of a run that begins there."""
+
+        def step(s: Column, x: Column) -> Column:
+            start = s["at"] + x["gap"]
+            end = start + x["size"]
+            span = F.struct(start.alias("start"), F.lit(order).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
+            return F.struct(end.alias("at"), F.when(x["counts"], F.array_append(s["out"], span)).otherwise(s["out"]).alias("out"))
+
+        return F.aggregate(run, F.struct(at.alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), step, lambda s: s["out"])
+
+    def spans(sizes: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(RUN))
+        runs = F.transform(firsts, lambda i: F.slice(sizes, i, RUN))
+        return let(runs, lambda r: F.flatten(F.zip_with(r, begins(r), within)))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["match"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.char_length(x["counted"]) >= least, F.array_append(s["out"], span)).otherwise(s["out"]).alias("out"))
-
-    items = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("match"), counted.alias("counted"))
     # few texts have a match at all, and only those take the way over pieces
-    return F.when(text.rlike(pattern), F.aggregate(items, state, step, lambda s: s["out"])).otherwise(F.array().cast(shape))
+    return F.when(text.rlike(pattern), let(sizes, spans)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def any_rule(rules=RULES) -> str:
+    """A pattern that occurs in a text if one of the rules' does."""
+    return "|".join(f"(?:{pattern})" for _, pattern, _, _ in rules)
 
 
 def findings(text: Column, rules=RULES) -> Column:
@@ -76,25 +106,26 @@ def scan_new(docs: DataFrame, ledger: str, text: str = "text", rules=RULES, vers
     """Scans what the ledger (a path in the shared folder) lacks, appends it, and returns the ledger of this version."""
     spark, version = docs.sparkSession, version or rule_version(rules)
     body = F.coalesce(column(docs, text), F.lit(""))
-    blobs = docs.select(F.unhex(F.sha2(body, 256)).alias("sha"), body.alias("text"))
-    schema = "sha binary, rules string, spans array<struct<start: long, rank: int, kind: string, end: long>>"
+    # only texts with a match move, and equal ones meet within each task first
+    suspect = F.when(body.rlike(any_rule(rules)), body)
+    new = docs.select(F.unhex(F.sha2(body, 256)).alias("sha"), suspect.alias("text")).groupBy("sha").agg(F.first("text").alias("text"))
+    schema = f"sha binary, rules string, spans array<{SPAN}>"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
     if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         seen = spark.read.schema(schema).parquet(ledger).filter(F.col("rules") == version).select("sha")
-        blobs = blobs.join(seen, "sha", "left_anti")
-    # one text for each hash; equal ones meet within each task first
-    new = blobs.groupBy("sha").agg(F.first("text").alias("text"))
-    new.select("sha", F.lit(version).alias("rules"), findings(F.col("text"), rules).alias("spans")).write.mode("append").parquet(ledger)
+        new = new.join(seen, "sha", "left_anti")
+    spans = F.when(F.col("text").isNotNull(), findings(F.col("text"), rules)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    new.select("sha", F.lit(version).alias("rules"), spans.alias("spans")).write.mode("append").parquet(ledger)
     return spark.read.schema(schema).parquet(ledger).filter(F.col("rules") == version)
 
 
 def scan_paths(docs: DataFrame, ledger: str | None = None, path: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
     """(path, sha256, spans) for each row of ``docs``; the ledger is a fresh one if none is given."""
     held = scan_new(docs, ledger or new_path(docs.sparkSession, "ledger"), text, rules)
-    found = held.filter(F.size("spans") > 0).select(F.col("sha").alias("found"), "spans")
+    found = held.filter(F.size("spans") > 0).select("sha", "spans")
     rows = docs.select(column(docs, path).alias("path"), F.unhex(F.sha2(F.coalesce(column(docs, text), F.lit("")), 256)).alias("sha"))
-    none = F.array().cast("array<struct<start: long, rank: int, kind: string, end: long>>")
-    return rows.join(found, rows.sha == found.found, "left").select("path", F.lower(F.hex("sha")).alias("sha256"), F.coalesce("spans", none).alias("spans"))
+    every = salted(found, rows, "sha", "path", "left")
+    return every.select("path", F.lower(F.hex("sha")).alias("sha256"), F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
 def forget(docs: DataFrame, ledger: str) -> None:

@@ -34,13 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import column, new_path, ready, remove, utf8, written
+from strata.llm.common import column, hot_salted, new_path, ready, remove, salted, utf8, written
 
 BITS, SEED = 64, 42
-#: Tasks that the rows of one hub or component are dealt to where they are joined.
-SALTS = 8
-#: A key with more than one in so many rows is hot.
-HOT_SHARE = 1000
 #: Bits of a wide fingerprint, rows that a bucket of unrelated ones should have at most, and the chance that a pair of
 #: just the similarity asked for shares no bucket.
 WIDE, BUCKET, MISS = 512, 512, 0.001
@@ -294,28 +290,6 @@ def bucket_links(keys: DataFrame, radius: int, max_block: int, tasks: int, simil
     return dealt.mapInPandas(compare, "a long, b long").filter("a <> b").distinct()
 
 
-def salted(one: DataFrame, many: DataFrame, key: str | list[str], by: str, how: str = "inner") -> DataFrame:
-    """``many`` joined with ``one``, which has one row for each key: the rows of ``many`` of one key are dealt by a hash
-    of ``by``, and the row of ``one`` stands in each of the parts."""
-    parts = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    return dealt.join(parts, [*([key] if isinstance(key, str) else key), "salt"], how).drop("salt")
-
-
-def hot_salted(one: DataFrame, many: DataFrame, key: str, by: str, rows: str, how: str = "inner") -> DataFrame:
-    """``salted`` for a large ``one``, which says in ``rows`` how many rows of ``many`` each key has.
-
-    Only hot keys stand in several parts: those with more than a ``HOT_SHARE``-th of all rows, of which there are fewer
-    than ``HOT_SHARE``, so their list is small enough to broadcast whatever the tables' sizes.
-    """
-    total = one.agg(F.sum(rows)).first()[0] or 0
-    hot = F.broadcast(one.filter(F.col(rows) * HOT_SHARE > F.lit(total)).select(F.col(key).alias("hot_key")))
-    parts = one.withColumn("salt", F.explode(F.when(F.col(rows) * HOT_SHARE > F.lit(total), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    dealt = many.join(hot, many[key] == F.col("hot_key"), "left")
-    dealt = dealt.withColumn("salt", F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("hot_key")
-    return dealt.join(parts.drop(rows), [key, "salt"], how).drop("salt")
-
-
 def component_ids(distinct: DataFrame, roots: DataFrame, node: str) -> DataFrame:
     """``distinct`` with the least ``least`` of each node's component, null only if all are, as component_id."""
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -27,10 +27,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import column, free_name, ready, utf8, written
-from strata.llm.simhash import components, hot_salted, salted, shingle_hashes, wide_fingerprint, wide_links
+from strata.llm.common import column, free_name, hot_salted, ready, salted, utf8, written
+from strata.llm.simhash import components, shingle_hashes, wide_fingerprint, wide_links
 
-SIMILARITY, WORDS, BLOCK_BYTES = 0.8, 5, 1 << 24
+SIMILARITY, WORDS, BLOCK_BYTES = 0.8, 5, 1 << 21
 
 
 def shingle_set(text: bytes) -> np.ndarray:

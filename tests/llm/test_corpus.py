@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from strata.llm import mixing, quality_rules, similar, simhash, tokens
+from strata.llm import common, mixing, quality_rules, similar, simhash, tokens
 from strata.llm.queries import op1_mixing, op7_tokens, op9_simhash, tokenizer_path
 from tests.llm.test_text_scans import Folder, contamination, quality_base
 
@@ -226,7 +226,7 @@ def test_hot_keys_are_dealt_out(spark):
     assert len(found) == 900 and {found[i] for i in range(0, 900, 3)} == {0}
     one = spark.createDataFrame([("hot", 900, 7), *((f"k{i}", 1, i) for i in range(2000))], "key string, n long, v long")
     many = spark.createDataFrame([("hot", i) for i in range(900)] + [(f"k{i}", i) for i in range(2000)], "key string, i long")
-    out = simhash.hot_salted(one, many, "key", "i", "n")
+    out = common.hot_salted(one, many, "key", "i", "n")
     assert out.count() == 2900 and out.filter("key = 'hot' and v = 7").count() == 900
 
 
