@@ -1,18 +1,24 @@
 """License scans: an exact set-similarity join of text blocks with license templates; DataFrame functions only.
 
-A block is a line of a text, or a run of as many consecutive words of the whole text as the template has, so a notice
-that is wrapped over lines is a block too; its token set is joined with each template's. A pair is in the result if the
-block has at least ``threshold`` of the template's tokens (containment). Tokens are ordered by their frequency over all
-documents, rarest first. A template of n tokens needs k = ceil(threshold * n) of them, so any block in the result has
-one of the template's first n - k + 1 tokens (its prefix): only blocks with a prefix token become candidates. Of
-those, blocks with fewer than k tokens go (length filter), as do pairs in which the prefix tokens found and all
-tokens that follow the first of them in the order are fewer than k (positional filter). The overlap of what remains
-is counted exactly. Templates are few and short, which is checked, so their index is broadcast; documents are joined
-where they lie and only findings move. Runs are looked at only in texts of several lines that have enough of the
-template's tokens anywhere, at each word that is one of them; a run that begins elsewhere has no more of them than the
-run at its first one.
-
-Beside the join, base phrases are found word by word.
+A block is a run of as many consecutive words of the whole text as the template has, from one of the template's words
+on; line breaks and marks between words don't matter, so a notice that is wrapped over lines is a block like any other.
+Its token set is joined with the template's. A pair is in the result if the block has at least ``threshold`` of the
+template's tokens (containment). Tokens are ordered by their frequency over all documents, rarest first; tokens of no
+template can't be in any overlap and are left out of a block.
+
+A template of n tokens needs k = ceil(threshold * n) of them, so any block in the result has one of the template's
+first n - k + 1 tokens (its prefix). Texts without a prefix token are left at once. A block with fewer than k tokens
+goes (length filter), one without a token of the prefix goes (prefix filter), and so does one in which too little
+follows the first token that both have, in the block or in the template, to reach k (positional filter; as k is the
+template's own it does what a prefix of the block would). The overlap of what remains is counted exactly.
+
+Templates of one family differ in a word or two, which a containment below 1 would let go. So a template names tokens
+that its block must have and tokens of its relatives that it must not, and, as sets have no order, the tokens found
+must stand in the template's order for the most part: at least ``threshold`` of the neighbouring ones. These exact
+checks follow the join.
+
+Templates are few and short, which is checked, so their index is broadcast; documents are joined where they lie and
+only findings move. Beside the join, base phrases are found word by word.
 
 Defined results: a null text has no words; repeated rows (of one id and one text) get equal results; a null id is an
 id; an empty table gives an empty result; texts of any length are read whole; other columns of the input don't
@@ -26,29 +32,30 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import column
+from strata.llm.common import column, let
 
 #: Phrases and their labels.
 BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Sentences of license notices and the labels that they prove.
+GNU, CC = ("lesser", "affero", "library"), ("noncommercial", "nc", "sharealike", "sa", "noderivatives", "nd")
+#: Sentences of license notices, the labels that they prove, and the tokens that they must and must not have.
 TEMPLATES = (
-    ("released under the MIT License", "mit"),
-    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("licensed under the Apache License, Version 2.0", "apache-2"),
-    ("you may not use this file except in compliance with the License", "apache-2"),
-    ("licensed under the GNU General Public License, version 3", "gpl-3"),
-    ("licensed under the GNU General Public License, version 2", "gpl-2"),
-    ("licensed under the GNU Lesser General Public License", "lgpl"),
-    ("licensed under the GNU Affero General Public License", "agpl"),
-    ("licensed under CC BY-NC 4.0", "cc-by-nc"),
-    ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
-    ("licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
-    ("licensed under CC BY 4.0", "cc-by"),
-    ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
-    ("subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2"),
-    ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"),
-    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
-    ("This is free and unencumbered software released into the public domain", "unlicense"),
+    ("released under the MIT License", "mit", ("mit",), ()),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit", ("permission", "charge"), ()),
+    ("licensed under the Apache License, Version 2.0", "apache-2", ("apache", "2"), ()),
+    ("you may not use this file except in compliance with the License", "apache-2", ("compliance", "license"), ()),
+    ("licensed under the GNU General Public License, version 3", "gpl-3", ("gnu", "general", "3"), GNU),
+    ("licensed under the GNU General Public License, version 2", "gpl-2", ("gnu", "general", "2"), GNU),
+    ("licensed under the GNU Lesser General Public License", "lgpl", ("gnu", "lesser"), ("affero",)),
+    ("licensed under the GNU Affero General Public License", "agpl", ("gnu", "affero"), ("lesser",)),
+    ("licensed under CC BY-NC 4.0", "cc-by-nc", ("cc", "by", "nc"), ("sa", "nd")),
+    ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc", ("creative", "attribution", "noncommercial"), ("sharealike", "noderivatives")),
+    ("licensed under a Creative Commons Attribution 4.0 International License", "cc-by", ("creative", "attribution"), CC),
+    ("licensed under CC BY 4.0", "cc-by", ("cc", "by"), CC),
+    ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa", ("creative", "attribution", "sharealike"), ("noncommercial",)),
+    ("subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2", ("mozilla", "2"), ()),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd", ("redistribution", "forms"), ()),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc", ("permission", "fee"), ()),
+    ("This is free and unencumbered software released into the public domain", "unlicense", ("unencumbered", "domain"), ()),
 )
 THRESHOLD, MAX_TEMPLATE_TOKENS = 0.85, 100_000
 #: Everything but ASCII letters and digits and non-ASCII characters, of lower-cased text.
@@ -94,52 +101,77 @@ def token_counts(docs: DataFrame, vocabulary: list[str], text: str = "text") ->
     return {r[0]: r[1] for r in rows}
 
 
+def judged(block: Column, t: dict[str, Column]) -> Column:
+    """The overlap of a block, its tokens' ranks in text order, with a template; null if a filter or a check fails."""
+
+    def filtered(b: Column) -> Column:
+        """``b``: the block's distinct ranks, rarest first."""
+        m, n = F.size(b), F.size(t["ordered"])
+        common = F.array_intersect(t["prefix"], b)
+        # the first of them is the first token that both have
+        after = lambda first: 1 + F.least(n - F.array_position(t["ordered"], first), m - F.array_position(b, first))
+        overlap = F.size(F.array_intersect(t["ordered"], b))
+        enough = (m >= t["need"]) & (F.size(common) > 0) & (after(F.element_at(common, 1)) >= t["need"])
+        return F.when(enough, F.when(overlap >= t["need"], overlap))
+
+    def in_order(found: Column) -> Column:
+        """Whether most neighbours among the template's tokens that are found stand one after the other in the block."""
+        at = lambda i: F.array_position(block, F.element_at(found, i))
+        follow = F.size(F.filter(F.sequence(F.lit(1), F.size(found) - 1), lambda i: at(i) < at(i + 1)))
+        return (F.size(found) < 2) | (follow >= t["threshold"] * (F.size(found) - 1) - 1e-9)
+
+    named = (F.size(F.array_except(t["must"], block)) == 0) & ~F.arrays_overlap(t["never"], block)
+    overlap = let(F.array_sort(F.array_distinct(block)), filtered)
+    # the cheapest test is first
+    return F.when(named, let(overlap, lambda x: F.when(x.isNotNull(), F.when(let(F.array_intersect(t["worded"], block), in_order), x))))
+
+
 def set_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, text_hash, block, label, template, containment): all pairs of a block and a template over the threshold.
+    """(id, text_hash, word, label, template, containment): the best block of each text and template over the threshold.
 
-    ``block`` is the line's number, and null for a template's best run of words of the whole text.
+    ``word`` is where the block begins, words counted from 0; the first of several best ones.
     """
     spark = docs.sparkSession
-    sets = [(i, label, tokens_of(t), length_of(t)) for i, (t, label) in enumerate(templates)]
-    if sum(len(s) for _, _, s, _ in sets) > MAX_TEMPLATE_TOKENS:
+    sets = [(i, label, tokens_of(t), length_of(t), must, never) for i, (t, label, must, never) in enumerate(templates)]
+    vocabulary = sorted({w for _, _, s, _, _, never in sets for w in (*s, *never)})
+    if len(vocabulary) > MAX_TEMPLATE_TOKENS:
         raise ValueError(f"the templates have more than {MAX_TEMPLATE_TOKENS} tokens; give them in several calls")
-    counts = token_counts(docs, sorted({w for _, _, s, _ in sets for w in s}), text)
+    counts = token_counts(docs, vocabulary, text)
+    vocabulary.sort(key=lambda w: (counts.get(w, 0), w))
+    rank = {w: i + 1 for i, w in enumerate(vocabulary)}
     index = []
-    for i, label, s, length in sets:
-        ordered = sorted(s, key=lambda w: (counts.get(w, 0), w))
+    for i, label, s, length, must, never in sets:
+        ordered = sorted(rank[w] for w in s)
         need = math.ceil(threshold * len(ordered) - 1e-9)
-        prefix = ordered[: len(ordered) - need + 1]
-        index += [(w, i, label, ordered, prefix, at, need, length) for at, w in enumerate(prefix)]
-    starts = F.array(*map(F.lit, sorted({r[0] for r in index})))
-    schema = "w string, template int, label string, ordered array<string>, prefix array<string>, at int, need int, length int"
+        prefix, ranks = ordered[: len(ordered) - need + 1], lambda words: [rank[w] for w in words]
+        index += [(r, i, label, ordered, prefix, at, need, length, ranks(must), ranks(never), ranks(s), threshold) for at, r in enumerate(prefix)]
+    starts = F.array(*(F.lit(vocabulary[r - 1]) for r in sorted({x[0] for x in index})))
+    schema = "r int, template int, label string, ordered array<int>, prefix array<int>, at int, need int, length int, must array<int>, never array<int>, worded array<int>, threshold double"
     index = F.broadcast(spark.createDataFrame(index, schema))
     body = F.coalesce(column(docs, text), F.lit(""))
-
-    def overlaps(blocks: DataFrame) -> DataFrame:
-        """The pairs of a block and a template with the needed tokens; only a block's prefix tokens are exploded."""
-        candidates = blocks.select("*", F.explode(F.array_intersect("tokens", starts)).alias("w")).join(index, "w")
-        candidates = candidates.filter(F.size("tokens") >= F.col("need"))
-        # a pair is taken at the first of its prefix tokens that the block has
-        earlier = F.slice(F.col("prefix"), F.lit(1), F.col("at"))
-        candidates = candidates.filter((F.col("at") == 0) | ~F.arrays_overlap(earlier, F.col("tokens")))
-        candidates = candidates.filter(F.size("ordered") - F.col("at") >= F.col("need"))
-        overlap = F.size(F.array_intersect("ordered", "tokens"))
-        return candidates.withColumn("overlap", overlap).filter(F.col("overlap") >= F.col("need"))
-
-    own = [column(docs, doc_id).alias("id"), F.xxhash64(body).alias("text_hash")]
-    lines = docs.select(*own, F.posexplode(F.split(body, "\n")).alias("block", "line"))
-    lines = lines.filter("line <> ''").select("id", "text_hash", "block", F.array_distinct(words(F.col("line"))).alias("tokens"))
-    # a line without a prefix token is left before its words are exploded
-    lines = overlaps(lines.filter(F.arrays_overlap("tokens", starts)))
-    # a run within one line is a part of it; words are split once, by a generator of one row
-    texts = docs.filter(F.instr(body, "\n") > 0).select(*own, F.explode(F.array(words(body))).alias("held"))
+    # words are split once, by a generator of one row, and so are the places and ranks of those of the templates
+    texts = docs.select(column(docs, doc_id).alias("id"), F.xxhash64(body).alias("text_hash"), F.explode(F.array(words(body))).alias("held"))
     texts = texts.filter(F.arrays_overlap("held", starts))
-    texts = overlaps(texts.select("id", "text_hash", F.lit(None).cast("int").alias("block"), "held", F.array_distinct("held").alias("tokens")))
-    places = F.filter(F.sequence(F.lit(1), F.size("held")), lambda i: F.array_contains("ordered", F.element_at("held", i)))
-    most = F.array_max(F.transform(places, lambda i: F.size(F.array_intersect("ordered", F.slice("held", i, F.col("length"))))))
-    runs = texts.drop("overlap").select("*", F.explode(F.array(most)).alias("overlap")).filter(F.col("overlap") >= F.col("need"))
-    result = ["id", "text_hash", "block", "label", "template", (F.col("overlap") / F.size("ordered")).alias("containment")]
-    return lines.select(*result).unionByName(runs.select(*result))
+    ranks = F.array(*map(F.lit, vocabulary))
+    hits = F.filter(F.transform("held", lambda w, i: F.struct(i.alias("word"), F.array_position(ranks, w).cast("int").alias("r"))), lambda x: x["r"] > 0)
+    texts = texts.select("id", "text_hash", F.explode(F.array(hits)).alias("hits"))
+    texts = texts.select("*", F.explode(F.array(F.array_distinct(F.transform("hits", lambda x: x["r"])))).alias("own"))
+    # candidates: the prefix filter over whole texts; a template is taken at the first of its prefix tokens that is there
+    found = texts.select("*", F.explode("own").alias("r")).join(index, "r")
+    earlier = F.slice(F.col("prefix"), F.lit(1), F.col("at"))
+    found = found.filter((F.col("at") == 0) | ~F.arrays_overlap(earlier, F.col("own")))
+    found = found.filter((F.size(F.array_except("must", "own")) == 0) & (F.size(F.array_intersect("ordered", "own")) >= F.col("need")))
+    t = {k: F.col(k) for k in ("ordered", "prefix", "need", "must", "never", "worded", "threshold")}
+
+    def block(i: Column) -> Column:
+        first = F.element_at("hits", i)
+        run = F.filter(F.slice("hits", i, F.col("length")), lambda x: x["word"] < first["word"] + F.col("length"))
+        overlap = let(F.transform(run, lambda x: x["r"]), lambda ranks: judged(ranks, t))
+        return let(overlap, lambda o: F.when(o.isNotNull(), F.struct(o.alias("overlap"), (-first["word"]).alias("back"))))
+
+    places = F.filter(F.sequence(F.lit(1), F.size("hits")), lambda i: F.array_contains(F.col("ordered"), F.element_at("hits", i)["r"]))
+    found = found.select("*", F.explode(F.array(F.array_max(F.transform(places, block)))).alias("best")).filter("best is not null")
+    return found.select("id", "text_hash", (-F.col("best.back")).alias("word"), "label", "template", (F.col("best.overlap") / F.size("ordered")).alias("containment"))
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,7 +1,8 @@
 """SQL of DuckDB with the same results as the queries, where SQL can say them.
 
 Fingerprints by XXH64, trained models, histograms by Unicode class and files are beyond it. Rules, phrases and
-templates are put in from the operators' own lists. The license templates are compared with every line here.
+templates are put in from the operators' own lists. License templates are compared with every run of words here, without
+the filters.
 """
 
 from __future__ import annotations
@@ -91,27 +92,28 @@ FROM rows LEFT JOIN words USING (row_no) LEFT JOIN found USING (row_no)
 """
 
 
-def phrase_sql(phrase: str) -> str:
-    """The places of a phrase, words counted from 0."""
-    parts = phrase.split()
-    return f"list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(parts) - 1}] = {strings(parts)}), lambda i: i - 1)"
-
-
 def template_rows() -> str:
-    tokens = [(label, licenses.tokens_of(t)) for t, label in licenses.TEMPLATES]
-    return ", ".join(f"({quoted(label)}, {strings(t)}, {math.ceil(licenses.THRESHOLD * len(t) - 1e-9)})" for label, t in tokens)
+    each = [(label, licenses.tokens_of(t), licenses.length_of(t), must, never) for t, label, must, never in licenses.TEMPLATES]
+    need = lambda t: math.ceil(licenses.THRESHOLD * len(t) - 1e-9)
+    return ", ".join(f"({quoted(label)}, {strings(t)}, {size}, {need(t)}, {strings(must)}, {strings(never)}::VARCHAR[])" for label, t, size, must, never in each)
 
 
 LICENSES = f"""
 WITH rows AS (SELECT row_number() OVER () AS row_no, doc_id, text, {WORDS.format("text")} AS w FROM documents),
-templates(label, tokens, need) AS (VALUES {template_rows()}),
-lines AS (SELECT row_no, list_distinct({WORDS.format("line")}) AS tokens FROM (SELECT row_no, unnest(string_split(text, chr(10))) AS line FROM rows)),
-pairs AS (SELECT row_no, label, len(list_intersect(t.tokens, l.tokens)) AS n, need, len(t.tokens) AS size FROM lines l JOIN templates t ON len(l.tokens) >= need),
-found AS (SELECT row_no, list(DISTINCT label) AS labels, max(n / size::DOUBLE) AS containment FROM pairs WHERE n >= need GROUP BY row_no),
-phrases AS (SELECT row_no, doc_id, len(w) AS n_words, {", ".join(f"{phrase_sql(p)} AS at_{i}" for i, (p, _) in enumerate(licenses.BASE_PHRASES))} FROM rows),
-based AS (SELECT *, {" || ".join(f"at_{i}" for i in range(len(licenses.BASE_PHRASES)))} AS places,
-    list_filter([{", ".join(f"CASE WHEN len(at_{i}) > 0 THEN {quoted(label)} END" for i, (_, label) in enumerate(licenses.BASE_PHRASES))}], lambda x: x IS NOT NULL) AS base FROM phrases)
-SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+templates(label, tokens, size, need, must, never) AS (VALUES {template_rows()}),
+likely AS (SELECT row_no, w, t.* FROM rows JOIN templates t ON list_has_all(w, must) AND len(list_intersect(w, tokens)) >= need),
+places AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM likely),
+runs AS (SELECT row_no, label, tokens, need, must, never, w[i:i + size - 1] AS run FROM places WHERE list_contains(tokens, w[i])),
+pairs AS (SELECT row_no, label, tokens, run, list_filter(tokens, lambda x: list_contains(run, x)) AS held FROM runs
+    WHERE list_has_all(run, must) AND NOT list_has_any(run, never) AND len(list_intersect(run, tokens)) >= need),
+found AS (SELECT row_no, list(DISTINCT label) AS labels, max(len(held) / len(tokens)::DOUBLE) AS containment FROM pairs
+    WHERE len(held) < 2 OR len(list_filter(range(1, len(held)), lambda i: list_position(run, held[i]) < list_position(run, held[i + 1]))) >= {licenses.THRESHOLD} * (len(held) - 1) - 1e-9
+    GROUP BY row_no),
+phrases(label, words) AS (VALUES {", ".join(f"({quoted(label)}, {strings(p.split())})" for p, label in licenses.BASE_PHRASES)}),
+spots AS (SELECT row_no, label, i - 1 AS spot FROM (SELECT row_no, w, unnest(range(1, len(w) + 1)) AS i FROM rows) JOIN phrases ON w[i] = words[1] WHERE w[i:i + len(words) - 1] = words),
+based AS (SELECT row_no, any_value(doc_id) AS doc_id, any_value(len(w)) AS n_words, count(spot) AS n_base, min(spot) AS first_word, max(spot) AS last_word,
+    coalesce(list(DISTINCT label) FILTER (label IS NOT NULL), []) AS base FROM rows LEFT JOIN spots USING (row_no) GROUP BY row_no)
+SELECT doc_id, n_words, n_base, first_word, last_word,
     array_to_string(list_sort(base), ',') AS base_labels,
     array_to_string(list_sort(list_distinct(base || coalesce(labels, []))), ',') AS labels,
     CASE WHEN len(base) > 0 THEN 1.0::DOUBLE ELSE coalesce(containment, 0.0::DOUBLE) END AS score

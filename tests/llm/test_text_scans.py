@@ -1,6 +1,7 @@
 """Secrets, licenses, decontamination and quality rules against plain Python over whole texts."""
 
 import hashlib
+import itertools
 import re
 import time
 from collections import Counter
@@ -107,18 +108,32 @@ def test_licenses(spark, request, tmp_path, which):
     rows = op8_licenses(spark, folder.path).collect()
     want = Counter((r["doc_id"], *base_places(r["text"] or "")) for r in df.collect())
     assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in rows) == want
-    sets = [(label, set(licenses.tokens_of(t))) for t, label in licenses.TEMPLATES]
-    joined = Counter()
-    for r in df.collect():
-        labels = set(base_places(r["text"] or "")[4].split(",")) - {""}
-        for line in (r["text"] or "").split("\n"):
-            held = set(WORD.findall(line.translate(LOWER)))
-            labels |= {label for label, s in sets if len(s & held) >= licenses.THRESHOLD * len(s) - 1e-9}
-        joined[(r["doc_id"], ",".join(sorted(labels)))] += 1
+    joined = Counter((r["doc_id"], ",".join(sorted(set(base_places(r["text"] or "")[4].split(",")) - {""} | {x[0] for x in license_blocks(r["text"] or "")}))) for r in df.collect())
     assert Counter((r["doc_id"], r["labels"]) for r in rows) == joined
     assert all(0 <= r["score"] <= 1 and (r["score"] > 0) == (r["labels"] != "") for r in rows)
 
 
+def license_blocks(text):
+    """(label, containment) of every run of words that meets a template, without any filter."""
+    words, out = WORD.findall(text.translate(LOWER)), set()
+    for t, label, must, never in licenses.TEMPLATES:
+        tokens, size = licenses.tokens_of(t), licenses.length_of(t)
+        for i, w in enumerate(words):
+            run = words[i : i + size]
+            held = [x for x in tokens if x in run]
+            if w not in tokens or len(held) < licenses.THRESHOLD * len(tokens) - 1e-9 or not set(must) <= set(run) or set(never) & set(run):
+                continue
+            follow = sum(run.index(a) < run.index(b) for a, b in zip(held, held[1:]))
+            if follow >= licenses.THRESHOLD * (len(held) - 1) - 1e-9:
+                out.add((label, len(held) / len(tokens)))
+    return out
+
+
+def labels_of(spark, tmp_path, texts):
+    folder = Folder(tmp_path).put("documents", spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    return {r["doc_id"]: (r["labels"], r["score"]) for r in op8_licenses(spark, folder.path).collect()}
+
+
 def test_wrapped_licenses(spark, tmp_path):
     """Notices wrapped over lines, with comment marks or over many lines, have their labels; scattered words have none."""
     wrapped = [
@@ -128,13 +143,49 @@ def test_wrapped_licenses(spark, tmp_path):
         ("mpl-2", "subject to the terms of the Mozilla Public\nLicense, v. 2.0"),
         ("mit", " * Permission is hereby granted, free of\n * charge, to any person obtaining a\n * copy of this software and associated\n * documentation files"),
         ("", "Redistribution and use in source\n" + "calm sea " * 20 + "\nand binary forms, with or without\nmodification, are permitted"),
+        ("apache-2", "# Licensed under the Apache\n# License, Version 2.0"),
+        ("gpl-3", "licensed under the GNU General\nPublic License,\nversion 3"),
     ]
-    rows = [(i, f"Some words before.\n\n{t} and more\nafter it") for i, (_, t) in enumerate(wrapped)]
-    folder = Folder(tmp_path).put("documents", spark.createDataFrame(rows, "doc_id long, text string"))
-    found = {r["doc_id"]: (r["labels"], r["score"]) for r in op8_licenses(spark, folder.path).collect()}
+    found = labels_of(spark, tmp_path, [f"Some words before.\n\n{t} and more\nafter it" for _, t in wrapped])
     assert found == {i: (label, 1.0 if label else 0.0) for i, (label, _) in enumerate(wrapped)}
 
 
+def test_licenses_of_a_family(spark, tmp_path):
+    """The word that tells licenses of one family apart is necessary, and so is the order of the words."""
+    notices = [
+        ("gpl-3", "licensed under the GNU General Public License, version 3"),
+        ("gpl-2", "licensed under the GNU General Public License, version 2"),
+        ("lgpl", "licensed under the GNU Lesser General Public License, version 3"),
+        ("agpl", "licensed under the GNU Affero General Public License, version 3"),
+        ("gpl-3,lgpl", "licensed under the GNU General Public License, version 3. Some files are licensed under the GNU Lesser General Public License."),
+        ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
+        ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+        ("", "version 3 under public license general GNU the licensed"),
+        ("", "a general license of the public, version 3, under which the GNU were licensed"),
+    ]
+    assert {k: v[0] for k, v in labels_of(spark, tmp_path, [f"Here: {t}!" for _, t in notices]).items()} == {i: label for i, (label, _) in enumerate(notices)}
+
+
+def test_filters_remove_blocks_and_lose_none(spark):
+    """Each filter removes blocks that the ones before it let pass, and none that has the tokens needed."""
+    from pyspark.sql import functions as F
+
+    ordered, need = [2, 4, 5, 7, 9, 11], 4
+    blocks = [list(x) for n in range(1, 9) for x in itertools.combinations(range(1, 13), n)]
+    df = spark.createDataFrame([(b, ordered, ordered[: len(ordered) - need + 1], need, [], [], ordered, 0.0) for b in blocks], "b array<int>, ordered array<int>, prefix array<int>, need int, must array<int>, never array<int>, worded array<int>, threshold double")
+    names = ("ordered", "prefix", "need", "must", "never", "worded", "threshold")
+    got = {tuple(r["b"]): r["o"] for r in df.select("b", licenses.judged(F.col("b"), {k: F.col(k) for k in names}).alias("o")).collect()}
+    assert got == {tuple(b): n if (n := len(set(b) & set(ordered))) >= need else None for b in blocks}
+    removed = Counter()
+    for b in blocks:
+        common = sorted(set(b) & set(ordered[: len(ordered) - need + 1]))
+        if len(b) < need or not common:
+            removed["length" if len(b) < need else "prefix"] += 1
+        elif 1 + min(len(ordered) - ordered.index(common[0]) - 1, len(b) - b.index(common[0]) - 1) < need:
+            removed["position"] += 1
+    assert min(removed[k] for k in ("length", "prefix", "position")) > 50
+
+
 def windows(items, size=13):
     for item, text in items:
         words = WORD.findall((text or "").translate(LOWER))
