@@ -83,18 +83,18 @@ def salted(one: DataFrame, many: DataFrame, key: str | list[str], by: str, how:
     return dealt.join(parts, [*([key] if isinstance(key, str) else key), "salt"], how).drop("salt")
 
 
-def hot_salted(one: DataFrame, many: DataFrame, key: str, by: str, rows: str, how: str = "inner") -> DataFrame:
+def hot_salted(one: DataFrame, many: DataFrame, key: str, by: str, rows: str, how: str = "inner", keep: bool = False) -> DataFrame:
     """``salted`` for a large ``one``, which says in ``rows`` how many rows of ``many`` each key has.
 
     Only hot keys stand in several parts: those with more than a ``HOT_SHARE``-th of all rows, of which there are fewer
-    than ``HOT_SHARE``, so their list is small enough to broadcast whatever the tables' sizes.
+    than ``HOT_SHARE``, so their list is small enough to broadcast whatever the tables' sizes. ``keep`` keeps the counts.
     """
     total = one.agg(F.sum(rows)).first()[0] or 0
     hot = F.broadcast(one.filter(F.col(rows) * HOT_SHARE > F.lit(total)).select(F.col(key).alias("hot_key")))
     parts = one.withColumn("salt", F.explode(F.when(F.col(rows) * HOT_SHARE > F.lit(total), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     dealt = many.join(hot, many[key] == F.col("hot_key"), "left")
     dealt = dealt.withColumn("salt", F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("hot_key")
-    return dealt.join(parts.drop(rows), [key, "salt"], how).drop("salt")
+    return dealt.join(parts if keep else parts.drop(rows), [key, "salt"], how).drop("salt")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

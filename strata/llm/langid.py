@@ -8,19 +8,19 @@ language is the sum of -log2 of its bytes' probabilities. The statistics are fro
 lengths of the (context, byte) pairs that occurred written out, beside what an escape costs in each context. A text is
 scored by the distinct runs of four bytes in a batch: each is looked up once in each language.
 
-Training takes every language that has a text, and a bounded sample of each: about ``max_train_docs`` documents, chosen
-by a hash of the id, and the first ``max_train_chars`` characters of each. A language keeps its own ``max_contexts``
+Training takes every language that has a text, and a bounded sample of each: about ``max_train_docs`` different
+documents, chosen by a hash of id and text, and the first ``max_train_chars`` characters of each. A language keeps its own ``max_contexts``
 most frequent contexts of three bytes and a quarter as many of two, however many languages there are. Texts are
 lower-cased; all 256 values of a byte are told apart.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing could be
+Defined results: a null text, or one without a letter (Unicode category L, so ``½`` and ``①`` are none), is ``und``
+with score 0; rows that are repeated are learned from once; so is every text if nothing could be
 learned; ties go to the first language by name; a null id is never held out; repeated rows get equal results; an
 empty table gives an empty result; texts of any length are scored whole; other columns pass through.
 """
 
 from __future__ import annotations
 
-import re
 from functools import cached_property
 
 import numpy as np
@@ -28,10 +28,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import column, ready, steps
+from strata.llm.common import column, ready, steps, written
 
 SYMBOLS, ORDER, PAD = 256, 3, b" " * 3
-LETTER = re.compile(r"[^\W\d_]")
 RESULT = "lang_pred string, score double, bits double"
 
 
@@ -40,28 +39,40 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def sample(rows: DataFrame, key: Column, group: str, most: int, seed: int = 7) -> DataFrame:
-    """About ``most`` rows of each group (all of a smaller one), by a hash of the key, chosen where the rows lie.
+def sample(rows: DataFrame, key: str, group: str, most: int, text: str | None = None, seed: int = 7) -> DataFrame:
+    """About ``most`` different rows of each group (all of a smaller one), by a hash of key and text, chosen where they lie.
 
-    Groups are counted first; they are few (languages up to a bound, or labels), so their chances are literals.
+    What is counted and chosen are different pairs of key and text, so a row that is repeated any number of times counts
+    once and comes once, and an id with any number of texts has no more of them in the sample than others have. Groups,
+    languages or labels, are listed on the driver; rows without one are left out.
     """
-    chance = F.lit(0.0)
-    for value, n in rows.groupBy(group).count().collect():
-        chance = F.when(F.col(group) == F.lit(value), F.lit(most / n)).otherwise(chance)
-    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.filter(u < chance)
+    rows = rows.filter(F.col(group).isNotNull()).withColumn("sample_hash", F.xxhash64(*([key] if text is None else [key, text])))
+    counts = rows.groupBy(group).agg(F.approx_count_distinct("sample_hash", 0.02).alias("n")).collect()
+    if not counts:
+        return rows.limit(0).drop("sample_hash")
+    # one lookup, as an expression of a branch for each of many groups would be too deep
+    chances = F.create_map(*(x for value, n in counts for x in (F.lit(value), F.lit(most / max(n, 1)))))
+    u = F.pmod(F.xxhash64("sample_hash", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = rows.filter(u < F.coalesce(F.try_element_at(chances, F.col(group)), F.lit(0.0)))
+    return chosen.dropDuplicates([group, "sample_hash"]).drop("sample_hash")
 
 
-def sample_of_many(rows: DataFrame, key: Column, group: str, most: int, seed: int = 7) -> DataFrame:
-    """The rows that ``sample`` chooses, for any number of groups."""
-    counts = [(value, n) for value, n in rows.groupBy(group).count().collect() if value is not None]
-    if not counts:
-        return rows.limit(0)
-    # one lookup, as an expression of a branch for each of many languages would be too deep
-    chances = F.create_map(*(x for value, n in counts for x in (F.lit(value), F.lit(most / n))))
-    chance = F.coalesce(F.try_element_at(chances, F.col(group)), F.lit(0.0))
-    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.filter(u < chance)
+def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, most: int, max_chars: int) -> tuple[DataFrame, dict[int, int]] | None:
+    """(key, text, label) of about ``most`` rows of each label 0 and 1, and how many ids have each; None without both.
+
+    Labels are sampled by id first. An id may stand in any number of documents, so these are sampled again as rows: what
+    the driver gets is bounded by rows and not by ids. Of an id with both labels the larger counts.
+    """
+    marks = labels.select(column(labels, doc_id).alias("key"), column(labels, label).cast("int").alias("label")).filter("label in (0, 1) and key is not null")
+    marks = marks.groupBy("key").agg(F.max("label").alias("label"))
+    counts = dict(tuple(r) for r in marks.groupBy("label").count().collect())
+    if len(counts) < 2:
+        return None
+    chosen = sample(marks, "key", "label", most)
+    own = docs.select(column(docs, doc_id).alias("key"), F.substring(F.coalesce(column(docs, text), F.lit("")), 1, max_chars).alias("text"))
+    # the sample of ids is bounded by its parameter, so it may go to all tasks
+    found = written(own.join(F.broadcast(chosen), "key"), "labelled")
+    return sample(found, "key", "label", most, "text"), counts
 
 
 def refine(base: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -193,7 +204,7 @@ class Model:
         least = bits.min(1)
         score = 1 / np.exp2(np.minimum(least[:, None] - bits, 0)).sum(1)
         out = pd.DataFrame({"lang_pred": np.array(self.languages, object)[best], "score": score, "bits": least})
-        none = np.fromiter((LETTER.search(t) is None for t in known), bool, len(known))
+        none = np.fromiter((not any(map(str.isalpha, t)) for t in known), bool, len(known))
         out.loc[none, ["lang_pred", "score", "bits"]] = ["und", 0.0, 0.0]
         return out
 
@@ -203,7 +214,7 @@ def train(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     own = rows.select(column(rows, doc_id).cast("string").alias("key"), column(rows, text).alias("text"), column(rows, lang).cast("string").alias("lang"))
     own = own.filter("text is not null and lang is not null").withColumn("text", F.substring("text", 1, max_train_chars))
     texts: dict[str, list[str]] = {}
-    for r in sorted(sample_of_many(own, F.col("key"), "lang", max_train_docs).collect(), key=lambda r: (r["lang"], r["key"] or "")):
+    for r in sorted(sample(own, "key", "lang", max_train_docs, "text").collect(), key=lambda r: (r["lang"], r["key"] or "", r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
     return Model(texts, max_contexts) if texts else None
 

@@ -8,7 +8,8 @@ are shuffled globally by a hash of seed, id and copy number. Means over ``LARGES
 with a uniform number each, whose counts add up to the same distribution, so the CDF never underflows.
 
 A null source is a source of its own. Weights for sources that don't occur are left out before the rest are scaled
-to one; a source without a weight gets none of the mixture. Without ``weights`` the target is the share to the power
+to one; a source without a weight has the weight ``otherwise``, by default
+none of the mixture. Without ``weights`` the target is the share to the power
 ``temperature``, scaled to one. Rows with equal ids have equal counts, as repeated rows must; a null id hashes as an
 empty one. An empty table gives an empty result; other columns pass through, null or long texts too. A column that
 already has the name given as ``copy`` or ``shuffle_key`` is replaced.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import column, free_name
+from strata.llm.common import column, free_name, written
 
 SEED, LARGEST_MEAN, MAX_BROADCAST_SOURCES = "mix-1", 16.0, 100_000
 
@@ -49,7 +50,7 @@ def poisson(mean: Column, seed: str, doc_id: Column) -> Column:
     return F.when(draws > 0, F.aggregate(counts, F.lit(0), lambda a, b: a + b)).otherwise(F.lit(0))
 
 
-def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.5, size: float = 1.0, source: str = "source") -> DataFrame:
+def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.5, size: float = 1.0, source: str = "source", otherwise: float = 0.0) -> DataFrame:
     """(source, rate) for each source of ``docs``: its mean number of repetitions."""
     spark = docs.sparkSession
     counts = docs.groupBy(column(docs, source).cast("string").alias("source")).agg(F.count("*").alias("n"))
@@ -57,7 +58,7 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, tempe
         weighed = counts.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(temperature)))
     else:
         given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, weight double")
-        weighed = counts.join(given, counts.source.eqNullSafe(given.name), "left").select("source", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+        weighed = counts.join(given, counts.source.eqNullSafe(given.name), "left").select("source", "n", F.coalesce("weight", F.lit(float(otherwise))).alias("weight"))
     total = weighed.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_weight"))
     share = F.try_divide(F.col("weight"), F.col("all_weight"))
     return weighed.crossJoin(F.broadcast(total)).select("source", F.coalesce(F.lit(float(size)) * share * F.col("all_n") / F.col("n"), F.lit(0.0)).alias("rate"))
@@ -74,16 +75,17 @@ def mix(
     copy: str = "copy",
     shuffle_key: str = "shuffle_key",
     partitions: int | None = None,
+    otherwise: float = 0.0,
 ) -> DataFrame:
     """Copies of documents, shuffled globally, with the copy's number from 1 and the key of the shuffle.
 
-    Rates are joined by broadcast while the sources are few, which is counted first; else by a shuffle of which
-    Spark splits the hot keys.
+    Rates are worked out once and written, and joined by broadcast while they are few; else by a shuffle of which Spark
+    splits the hot keys.
     """
     spark = docs.sparkSession
     rate, key = free_name(docs, "rate"), free_name(docs, "rate_source")
-    table = rates(docs, weights, temperature, size, source).select(F.col("source").alias(key), F.col("rate").alias(rate))
-    if docs.select(column(docs, source)).distinct().limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
+    table = written(rates(docs, weights, temperature, size, source, otherwise).select(F.col("source").alias(key), F.col("rate").alias(rate)), "rates")
+    if table.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
         table = F.broadcast(table)
     joined = docs.join(table, column(docs, source).cast("string").eqNullSafe(F.col(key)))
     ident = F.coalesce(column(docs, doc_id).cast("string"), F.lit(""))

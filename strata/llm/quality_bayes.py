@@ -5,11 +5,14 @@ evidence, a probability of good quality. Evidence is summed by host and by path
 level's rate has a Beta prior around the level above: the mean of all documents for hosts, the host's posterior for
 its paths. How strongly a level is held to its prior follows from how much rates differ within it beyond what their
 sizes explain (method of moments), so sparse sites shrink to what is known of larger ones. A document's score puts
-its own log odds and those of its path's posterior relative to the global mean together.
-
-A host is the part of ``site`` before its first slash; the path level is its next part together with the
-``section`` column. Defined results: a null text is an empty one; a null site or section is a site or section of its
-own; without labels of both kinds all evidence is 0.5; repeated rows count each; an empty table gives an empty
+its own log odds and those of its path's posterior relative to the global mean together; its own evidence is left out
+of both levels, so it counts once.
+
+A host is the part of ``site`` before its first slash; the path level is its next part together with the ``section``
+column. The tables here have names without a slash as ``source``, so ``lang`` as the section is all that a path adds to
+its host there. Rows are joined with their path in parts where one path has a large share of them. Defined results: a null text is an empty one; a null site or section is a site or section of its
+own; without labels of both kinds all evidence is 0.5; of an id with both labels the larger counts; repeated rows are
+learned from once, and count each in their site; a site of one document has its prior; an empty table gives an empty
 result; texts of any length are read whole; other columns pass through.
 """
 
@@ -20,8 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import column, ready, steps, utf8, written
-from strata.llm.langid import sample
+from strata.llm.common import column, hot_salted, ready, steps, utf8, written
+from strata.llm.langid import labelled_sample
 from strata.llm.quality_rules import CLASSES, base_stats
 
 FEATURES = 8 + len(CLASSES)
@@ -68,15 +71,10 @@ class Classifier:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_train_docs: int = 2000, max_train_chars: int = 20_000) -> Classifier | None:
     """A classifier from about ``max_train_docs`` labelled rows of each kind, or None without both."""
-    marks = labels.select(column(labels, doc_id).alias("key"), column(labels, label).cast("int").alias("label")).filter("label in (0, 1) and key is not null")
-    marks = marks.groupBy("key").agg(F.max("label").alias("label"))
-    counts = dict(tuple(r) for r in marks.groupBy("label").count().collect())
-    if len(counts) < 2:
+    found = labelled_sample(docs, labels, doc_id, text, label, max_train_docs, max_train_chars)
+    if found is None:
         return None
-    chosen = sample(marks, F.col("key"), "label", max_train_docs)
-    own = docs.select(column(docs, doc_id).alias("key"), utf8(column(docs, text)).alias("text")).filter(F.length("text") <= max_train_chars)
-    # the sample is bounded by its parameter
-    rows = sorted(((r["key"], bytes(r["text"]), r["label"]) for r in own.join(F.broadcast(chosen), "key").collect()))
+    counts, rows = found[1], sorted((r["key"], r["text"].encode(), r["label"]) for r in found[0].collect())
     y = np.array([r[2] for r in rows], float)
     if len(set(y.tolist())) < 2:
         return None
@@ -128,13 +126,16 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     mean = held.agg(F.avg("evidence")).first()[0]
     mean = 0.5 if mean is None else float(mean)
     paths = held.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("good"))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("prior", F.lit(mean))
-    k = strength(hosts, "prior")
-    hosts = hosts.select("host", ((F.col("good") + k * F.col("prior")) / (F.col("n") + k)).alias("host_posterior"))
-    paths = paths.join(hosts, "host")
-    k = strength(paths, "host_posterior")
-    paths = paths.select("host", "path", "host_posterior", ((F.col("good") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("path_posterior"))
-    paths = written(paths, "path-posteriors")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
+    host_k = strength(hosts.select(F.col("host_n").alias("n"), F.col("host_good").alias("good"), F.lit(mean).alias("prior")), "prior")
+    posterior = lambda good, n, k, prior: (good + k * prior) / (n + k)
+    paths = written(paths.join(hosts, "host").withColumn("prior", posterior(F.col("host_good"), F.col("host_n"), host_k, F.lit(mean))), "paths")
+    path_k = strength(paths, "prior")
+    # a path's name holds its host's; one may have any share of the rows
+    found = hot_salted(paths.drop("host", "prior"), held, "path", "doc_id", "n", keep=True)
+    host = posterior(F.col("host_good") - F.col("evidence"), F.col("host_n") - 1, host_k, F.lit(mean))
+    found = found.withColumn("host_posterior", host)
+    path = posterior(F.col("good") - F.col("evidence"), F.col("n") - 1, path_k, F.col("host_posterior"))
+    found = found.withColumn("path_posterior", path)
     odds = logit(F.col("evidence")) + logit(F.col("path_posterior")) - F.lit(float(np.log(max(mean, 1e-6) / max(1 - mean, 1e-6))))
-    found = held.join(paths, ["host", "path"])
     return found.select("doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", (1 / (1 + F.exp(-odds))).alias("score")).withColumn("kept", F.col("score") >= min_score)

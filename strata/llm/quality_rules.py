@@ -3,7 +3,8 @@
 A language reference is two histograms summed over all documents of one language that pass the base rules:
 character classes, and the common words of ``COMMON_WORDS`` (all others are one bin). A document is compared with
 each reference by the Jensen-Shannon distance (the root of the divergence in bits, 0 to 1), and the nearest
-reference counts, so a wrong language label does no harm. Short documents have noisy histograms; below the minimum
+reference counts, so a wrong language label does no harm. Languages with less than a thousandth of the documents share
+one reference. Short documents have noisy histograms; below the minimum
 lengths the distances don't count, and above them the limits are widened by a term that falls with the length.
 
 Defined results: a null text has no words and is empty; nulls in ``lang`` form no reference; an empty table gives an
@@ -16,7 +17,6 @@ from __future__ import annotations
 import itertools
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import column, free_name, ready, steps, utf8
+from strata.llm.common import column, free_name, ready, steps, utf8, written
 
 #: Frequent function words of four languages.
 COMMON_WORDS = (
@@ -39,7 +39,8 @@ MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 CLASSES = ("space", "lower", "upper", "letter", "mark", "digit", "symbol", "sentence", "punctuation", "other")
 SPACE, SYMBOL = CLASSES.index("space"), CLASSES.index("symbol")
 
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, base_failed boolean, kept boolean"
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+BASE_SCHEMA = ", ".join(f"{c} {'boolean' if c == 'base_failed' else 'long'}" for c in BASE)
 
 
 @lru_cache(1)
@@ -142,40 +143,45 @@ def js_distance(histograms: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where((histograms.sum(1) > 0) & (reference.sum() > 0), out, 0.0)
 
 
-def language_references(docs: DataFrame, text: str = "text", lang: str = "lang", max_languages: int = 1000) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, character histogram, word histogram), summed over all documents of the language that pass the base rules.
-
-    Each task adds up its own documents first; one row a language and batch is shuffled. The most frequent
-    ``max_languages`` languages get a reference, which bounds what the driver holds.
-    """
-    n, m = len(CLASSES), len(common()) + 1
+def measured(docs: DataFrame, text: str = "text", into: str = "measure") -> DataFrame:
+    """``docs`` with a struct column ``into``: the base counts and both histograms of each text, read once."""
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            held: dict[str, np.ndarray] = {}
-            texts, langs = batch["t"].tolist(), batch["l"].tolist()
-            for a, b in steps(texts):
-                stats, chars, words = base_stats(texts[a:b])
-                rows = np.hstack([chars, words])
-                ok = ~stats.base_failed.to_numpy()
-                for name in {x for x in langs[a:b] if x is not None}:
-                    pick = ok & np.fromiter((x == name for x in langs[a:b]), bool, b - a)
-                    held[name] = held.get(name, 0) + rows[pick].sum(0)
-            yield pd.DataFrame([(k, *map(int, v)) for k, v in held.items()], columns=["l", *(f"c{i}" for i in range(n + m))])
+    def of(column: pd.Series) -> pd.DataFrame:
+        texts, out = column.tolist(), []
+        for a, b in steps(texts):
+            stats, chars, words = base_stats(texts[a:b])
+            stats["chars"], stats["words"] = list(chars), list(words)
+            out.append(stats)
+        return pd.concat(out) if out else pd.DataFrame(columns=[*BASE, "chars", "words"])
 
     ready(docs.sparkSession)
-    cols = [f"c{i}" for i in range(n + m)]
-    part = docs.select(utf8(column(docs, text)).alias("t"), column(docs, lang).cast("string").alias("l")).mapInPandas(sums, "l string, " + ", ".join(f"{c} long" for c in cols))
-    rows = part.groupBy("l").agg(*(F.sum(c).alias(c) for c in cols)).orderBy(F.desc("c1"), "l").limit(max_languages).collect()
-    return sorted((r["l"], np.array(r[1 : n + 1], float), np.array(r[n + 1 :], float)) for r in rows if sum(r[1:]) > 0)
+    return docs.withColumn(into, F.pandas_udf(of, f"{BASE_SCHEMA}, chars array<long>, words array<long>")(utf8(column(docs, text))))
 
 
-def quality_rules(
-    docs: DataFrame,
-    text: str = "text",
-    lang: str = "lang",
+def language_references(rows: DataFrame, lang: str = "lang", measure: str = "measure", share: int = 1000) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, character histogram, word histogram), summed over all documents of the language that pass the base rules.
+
+    ``rows`` are ``measured``. A language with at least a ``share``-th of these documents has a reference of its own, so
+    there are at most ``share``; the documents of all others add up to one reference, named by the empty string. The sums
+    are made as aggregates with partial sums in each task.
+    """
+    n, m = len(CLASSES), len(common()) + 1
+    cols = [f"c{i}" for i in range(n + m)]
+    every = F.concat(F.col(f"{measure}.chars"), F.col(f"{measure}.words"))
+    own = rows.filter(~F.col(f"{measure}.base_failed")).select(column(rows, lang).cast("string").alias("l"), *(every[i].alias(c) for i, c in enumerate(cols)))
+    sums = [F.sum(c).alias(c) for c in cols]
+    by = written(own.filter("l is not null").groupBy("l").agg(F.count("*").alias("docs"), *sums), "references")
+    total = by.agg(F.sum("docs")).first()[0] or 0
+    frequent = F.col("docs") * share >= F.lit(total)
+    found = by.filter(frequent).drop("docs").collect() + by.filter(~frequent).agg(F.lit("").alias("l"), *sums).filter("c0 is not null").collect()
+    return sorted((r["l"], np.array(r[1 : n + 1], float), np.array(r[n + 1 :], float)) for r in found if sum(r[1:]) > 0)
+
+
+def judged(
+    rows: DataFrame,
+    references: list[tuple[str, np.ndarray, np.ndarray]],
+    measure: str = "measure",
     into: str = "quality",
-    references: list[tuple[str, np.ndarray, np.ndarray]] | None = None,
     max_char_distance: float = 0.16,
     max_word_distance: float = 0.20,
     char_slack: float = 3.0,
@@ -183,32 +189,44 @@ def quality_rules(
     min_chars: int = 200,
     min_words: int = 50,
 ) -> DataFrame:
-    """``docs`` with a struct column ``into``: the base counts, both distances and the verdict ``kept``.
+    """Rows that are ``measured``, with a struct column ``into``: the base counts, both distances and the verdict ``kept``.
 
     A limit is widened by its slack over the root of the length, in characters or in words. The defaults leave all
     labelled good documents of the test tables and reject most of the others that pass the base rules.
     """
-    refs = language_references(docs, text, lang) if references is None else references
 
-    def judge(column: pd.Series) -> pd.DataFrame:
-        texts, out = column.tolist(), []
-        for a, b in steps(texts):
-            stats, chars, words = base_stats(texts[a:b])
-            # the nearest language counts as a whole: both distances are those of one reference
-            both = [(js_distance(chars, c), js_distance(words, w)) for _, c, w in refs] or [(np.zeros(b - a), np.zeros(b - a))]
-            nearest = np.argmin([c + w for c, w in both], axis=0)
-            stats["char_distance"] = np.array([c for c, _ in both])[nearest, np.arange(b - a)]
-            stats["word_distance"] = np.array([w for _, w in both])[nearest, np.arange(b - a)]
-            size, n = np.maximum(chars.sum(1), 1), np.maximum(stats.n_words, 1)
-            far = (chars.sum(1) >= min_chars) & (stats.char_distance > max_char_distance + char_slack / np.sqrt(size))
-            far |= (stats.n_words >= min_words) & (stats.word_distance > max_word_distance + word_slack / np.sqrt(n))
-            stats["kept"] = ~stats.base_failed & ~far
-            out.append(stats)
-        names = [x.split()[0] for x in STATS.split(", ")]
-        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
+    def of(n_words: pd.Series, base_failed: pd.Series, char_counts: pd.Series, word_counts: pd.Series) -> pd.DataFrame:
+        if not len(n_words):
+            return pd.DataFrame(columns=["char_distance", "word_distance", "kept"])
+        chars, words = np.vstack(char_counts), np.vstack(word_counts)
+        # the nearest language counts as a whole: both distances are those of one reference
+        both = [(js_distance(chars, c), js_distance(words, w)) for _, c, w in references] or [(np.zeros(len(chars)), np.zeros(len(chars)))]
+        nearest, at = np.argmin([c + w for c, w in both], axis=0), np.arange(len(chars))
+        char_distance, word_distance = np.array([c for c, _ in both])[nearest, at], np.array([w for _, w in both])[nearest, at]
+        size, n = chars.sum(1), n_words.to_numpy()
+        far = (size >= min_chars) & (char_distance > max_char_distance + char_slack / np.sqrt(np.maximum(size, 1)))
+        far |= (n >= min_words) & (word_distance > max_word_distance + word_slack / np.sqrt(np.maximum(n, 1)))
+        return pd.DataFrame({"char_distance": char_distance, "word_distance": word_distance, "kept": ~base_failed.to_numpy(bool) & ~far})
+
+    ready(rows.sparkSession)
+    verdict = F.pandas_udf(of, "char_distance double, word_distance double, kept boolean")
+    judgement = free_name(rows, "judgement")
+    out = rows.withColumn(judgement, verdict(*(F.col(f"{measure}.{c}") for c in ("n_words", "base_failed", "chars", "words"))))
+    fields = [F.col(f"{measure}.{c}").alias(c) for c in BASE] + [F.col(f"{judgement}.{c}").alias(c) for c in ("char_distance", "word_distance", "kept")]
+    return out.withColumn(into, F.struct(*fields)).drop(judgement)
+
+
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", into: str = "quality", references=None, keep_text: bool = True, **limits) -> DataFrame:
+    """``docs`` with a struct column ``into``: the base counts, both distances and the verdict ``kept``.
 
-    ready(docs.sparkSession)
-    return docs.withColumn(into, F.pandas_udf(judge, STATS)(utf8(column(docs, text))))
+    Each text is read once: its histograms are written beside the row, and the references and verdicts come from them.
+    Without ``keep_text`` the text is neither written nor returned.
+    """
+    measure = free_name(docs, "measure")
+    rows = measured(docs, text, measure)
+    rows = written(rows if keep_text else rows.drop(text), "measured")
+    refs = language_references(rows, lang, measure) if references is None else references
+    return judged(rows, refs, measure, into, **limits).drop(measure)
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:

@@ -19,7 +19,7 @@ def tokenizer_path() -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"), sql.TARGETS, otherwise=sql.OTHERWISE)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     name = free_name(docs, "quality")
-    found = quality_rules.quality_rules(docs, into=name)
+    found = quality_rules.quality_rules(docs, into=name, keep_text=False)
     return found.select("doc_id", *(f"{name}.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")))
 
 

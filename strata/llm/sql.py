@@ -23,9 +23,13 @@ def strings(items) -> str:
     return "[" + ", ".join(map(quoted, items)) + "]"
 
 
-MIXING = f"""
+def mixing_sql(targets: dict[str, float], otherwise: float) -> str:
+    """The mixture to these weights."""
+    whens = " ".join(f"WHEN {quoted(k)} THEN {v}" for k, v in targets.items())
+    return f"""
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-rates AS (SELECT source, pow(n, 0.5) / (SELECT sum(pow(n, 0.5)) FROM counts) * (SELECT sum(n) FROM counts) / n AS rate FROM counts),
+weighed AS (SELECT source, n, CASE source {whens} ELSE {otherwise} END::DOUBLE AS weight FROM counts),
+rates AS (SELECT source, weight / (SELECT sum(weight) FROM weighed) * (SELECT sum(n) FROM weighed) / n AS rate FROM weighed),
 means AS (SELECT source, ceil(rate / {mixing.LARGEST_MEAN})::INT AS draws, rate / ceil(rate / {mixing.LARGEST_MEAN}) AS mean FROM rates),
 steps AS (
     SELECT source, mean, 0 AS k, exp(-mean) AS term, exp(-mean) AS total FROM means
@@ -47,6 +51,11 @@ SELECT *, md5('{mixing.SEED}:order:' || coalesce(doc_id::VARCHAR, '') || ':' ||
 """
 
 
+#: Target weights of the registered mixture: three sources are raised or lowered, all others have one part each.
+TARGETS, OTHERWISE = {"src0": 4.0, "src1": 0.25, "src2": 2.5}, 1.0
+MIXING = mixing_sql(TARGETS, OTHERWISE)
+
+
 def in_either_case(pattern: str) -> str:
     """A Java pattern's ``((?i)a|b)`` spelled as classes of two letters, which mean the same everywhere."""
     return re.sub(r"\(\(\?i\)([^)]*)\)", lambda m: "(" + re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", m[1]) + ")", pattern)

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from strata.llm import common, mixing, quality_rules, similar, simhash, tokens
+from strata.llm import common, mixing, quality_rules, similar, simhash, sql, tokens
 from strata.llm.queries import op1_mixing, op7_tokens, op9_simhash, tokenizer_path
 from tests.llm.test_text_scans import Folder, contamination, quality_base
 
@@ -239,9 +239,9 @@ def poisson(mean, u):
     return k
 
 
-def copies(rows, weights=None, size=1.0):
+def copies(rows, weights=None, size=1.0, otherwise=0.0):
     counts = Counter(s for _, s in rows)
-    w = {s: (n**0.5 if weights is None else weights.get(s, 0.0)) for s, n in counts.items()}
+    w = {s: (n**0.5 if weights is None else weights.get(s, otherwise)) for s, n in counts.items()}
     total = sum(w.values())
     out = Counter()
     for i, s in rows:
@@ -261,7 +261,7 @@ def test_mixing(spark, request, tmp_path, which):
     df = request.getfixturevalue(which)
     folder = Folder(tmp_path).put("documents", df)
     rows = [(r["doc_id"], r["source"]) for r in df.collect()]
-    assert Counter((r["doc_id"], r["source"]) for r in op1_mixing(spark, folder.path).collect()) == copies(rows)
+    assert Counter((r["doc_id"], r["source"]) for r in op1_mixing(spark, folder.path).collect()) == copies(rows, sql.TARGETS, otherwise=sql.OTHERWISE)
 
 
 def test_mixing_to_weights(spark, docs):
@@ -397,7 +397,7 @@ def test_pipeline(spark, tokenizer):
 
 
 @pytest.mark.parametrize("which", ["odd", "clashing", "empty"])
-def test_stages_with_odd_rows(spark, request, tmp_path, which):
+def test_stages_with_odd_rows(spark, request, tmp_path, which, tokenizer):
     df = request.getfixturevalue(which)
     folder = Folder(tmp_path).put("documents", df).put("benchmark", spark.createDataFrame([(1, "alpha beta"), (None, None)], "item_id long, text string"))
     docs = spark.read.parquet(f"{folder.path}/documents.parquet")
@@ -409,4 +409,7 @@ def test_stages_with_odd_rows(spark, request, tmp_path, which):
                 ids = [r["doc_id"] for r in out.collect() if r["doc_id"] is not None]
                 assert len(ids) == len(set(ids))
         else:
-            out.collect()
+            want = Counter((r["doc_id"], len(x := encoded(r["text"], tokenizer)) // 4, zlib.crc32(x)) for r in docs.collect())
+            rows = out.orderBy("start").collect()
+            assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows) == want
+            assert [r["start"] for r in rows] == [0, *itertools.accumulate(r["n_tokens"] for r in rows)][: len(rows)]

@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import re
 import time
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -270,10 +272,54 @@ def test_quality_rules(spark, request, tmp_path, which):
     rows = op10_quality_rules(spark, folder.path).collect()
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert Counter(tuple(r[n] for n in names) for r in rows) == Counter((r["doc_id"], *quality_base(r["text"])) for r in df.collect())
-    assert not any(r["kept"] and r["base_failed"] for r in rows)
+    assert Counter((r["doc_id"], r["kept"]) for r in rows) == Counter(zip((r["doc_id"] for r in df.collect()), quality_kept(df.collect()), strict=True))
     assert quality_rules.kept_documents(df).columns == df.columns
 
 
+def histograms(text):
+    """Character classes and common words of a text, by plain Python."""
+    kinds = {"Ll": "lower", "Lu": "upper", "Lt": "upper", "Lo": "letter", "Lm": "letter", "M": "mark", "N": "digit", "P": "punctuation", "S": "punctuation"}
+    name = lambda c: "space" if c in " \t\n\v\f\r" else "symbol" if c in "#*$%&|<>" else "sentence" if c in ".,;:?'\"-()" else kinds.get(unicodedata.category(c)) or kinds.get(unicodedata.category(c)[0], "other")
+    known = {w: i + 1 for i, w in enumerate(dict.fromkeys(quality_rules.COMMON_WORDS))}
+    fold = lambda w: "".join(c.lower() if c.isascii() else c for c in w.strip(".,;:!?\"'()"))
+    words = Counter(known.get(fold(w), 0) for w in re.findall(r"[^\x20\x09-\x0D]+", text))
+    chars = Counter(map(name, text))
+    return [chars[k] for k in quality_rules.CLASSES], [words[i] for i in range(len(known) + 1)]
+
+
+def distance(a, b):
+    if not sum(a) or not sum(b):
+        return 0.0
+    p, q = [x / sum(a) for x in a], [x / sum(b) for x in b]
+    m = [(x + y) / 2 for x, y in zip(p, q)]
+    return math.sqrt(max(0.0, sum(x * math.log2(x / z) for u in (p, q) for x, z in zip(u, m) if x) / 2))
+
+
+def quality_kept(rows, max_char=0.16, max_word=0.20):
+    """The verdict on each row: references by language of what passes the base rules, then distances with their limits."""
+    found = [(*histograms(r["text"] or ""), quality_base(r["text"])) for r in rows]
+    docs = Counter(r["lang"] for r, (_, _, b) in zip(rows, found) if not b[5] and r["lang"] is not None)
+    sums = {}
+    for r, (c, w, b) in zip(rows, found):
+        if not b[5] and r["lang"] is not None:
+            k = r["lang"] if docs[r["lang"]] * 1000 >= docs.total() else ""
+            old = sums.get(k, ([0] * len(c), [0] * len(w)))
+            sums[k] = [x + y for x, y in zip(old[0], c)], [x + y for x, y in zip(old[1], w)]
+    for c, w, b in found:
+        near = min(((distance(c, x), distance(w, y)) for _, (x, y) in sorted(sums.items())), key=sum, default=(0.0, 0.0))
+        far = sum(c) >= 200 and near[0] > max_char + 3.0 / math.sqrt(sum(c))
+        far = far or (b[0] >= 50 and near[1] > max_word + 1.7 / math.sqrt(b[0]))
+        yield not b[5] and not far
+
+
+def test_rare_languages_share_a_reference(spark):
+    text = lambda k: " ".join(f"{k}{i % 7}ab" for i in range(60)) + f" {' '.join(f'z{i}' for i in range(60))}"
+    rows = [(i, text("w"), "en") for i in range(3000)] + [(5000, text("x"), "aa"), (5001, text("y"), "bb"), (5002, text("y"), None)]
+    df = quality_rules.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    refs = quality_rules.language_references(df)
+    assert [k for k, _, _ in refs] == ["", "en"] and refs[0][2].sum() == 240 and refs[1][2].sum() == 120 * 3000
+
+
 def test_js_distance_by_definition():
     import numpy as np
 
