@@ -48,9 +48,25 @@ def except_(left: Query, right: Query) -> DataFrame:
     return left.to_df().subtract(right.to_df())
 
 
-def performance_summary(df: DataFrame, value: Expression, bucket: Expression, accuracy: int = 10_000) -> DataFrame:
-    """Count, least, greatest, mean, median, p95 and p99 of a value by bucket, in one pass."""
+def performance_summary(df: DataFrame, value: Expression, bucket: Expression, accuracy: int | None = 10_000) -> DataFrame:
+    """Count, least, greatest, mean, median, p95 and p99 of a value by bucket, in one pass.
+
+    Percentiles are sketches of this accuracy; without one they are exact and interpolated, and what is held grows with
+    the different values of a bucket.
+    """
     v = column_of(value)
-    p = F.percentile_approx(v, [0.5, 0.95, 0.99], accuracy)
+    p = F.percentile(v, [0.5, 0.95, 0.99]) if accuracy is None else F.percentile_approx(v, [0.5, 0.95, 0.99], accuracy)
     out = df.groupBy(column_of(bucket).alias("bucket")).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("avg"), p.alias("p"))
     return out.select("bucket", "n", "min", "max", "avg", F.col("p")[0].alias("median"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"))
+
+
+def request_summary(df: DataFrame, duration: Expression, failed: Expression) -> DataFrame:
+    """One row: the number of requests, their mean time, and the share of failed ones in per cent; null without requests."""
+    bad = F.avg(F.coalesce(column_of(failed), F.lit(False)).cast("int")) * 100
+    return df.agg(F.count(F.lit(1)).alias("total_requests"), F.avg(column_of(duration)).alias("avg_response_time"), bad.alias("error_rate_percent"))
+
+
+def slowest_endpoints(df: DataFrame, endpoint: Expression, duration: Expression, n: int = 5) -> DataFrame:
+    """(endpoint, avg_time, call_count) of the n endpoints that take longest on average, ties by name."""
+    by = df.groupBy(column_of(endpoint).alias("endpoint")).agg(F.avg(column_of(duration)).alias("avg_time"), F.count(F.lit(1)).alias("call_count"))
+    return by.orderBy(F.desc("avg_time"), "endpoint").limit(n)

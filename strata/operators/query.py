@@ -46,6 +46,7 @@ class Query:
     def __init__(self, df: DataFrame, order: Order, state: str = INITIAL, strict: bool = False, strategy: str = "scalable"):
         self._df, self._order, self.state, self.strict, self.strategy = df, order, state, strict, strategy
         self._skipped: tuple[Query, int] | None = None  # what skip was called on, and with which number
+        self._bag: DataFrame | None = None  # the same elements where their order doesn't matter
 
     # --- making and showing
 
@@ -70,7 +71,7 @@ class Query:
 
     def to_df(self) -> DataFrame:
         """The elements without an order."""
-        return self._df.select(*(f"`{c}`" for c in self.columns))
+        return (self._df if self._bag is None else self._bag).select(*(f"`{c}`" for c in self.columns))
 
     def sorted_df(self) -> DataFrame:
         """The elements, sorted."""
@@ -103,7 +104,10 @@ class Query:
 
     @legal(INITIAL, FILTERED, SORTED)
     def inspect(self, observation: Observation | Callable[[dict], None], *metrics: Column) -> Query:
-        """Observes the elements that pass: metrics in an Observation, or for debugging a function of each element."""
+        """Observes the elements that pass: metrics in an Observation, or a function of each element.
+
+        A function runs row by row in Python on the executors: for debugging, not for main paths.
+        """
         state = FILTERED if self.state == SORTED else self.state
         if isinstance(observation, Observation):
             return self._to(self._df.observe(observation, *(metrics or (F.count(F.lit(1)).alias("n"),))), state=state)
@@ -126,12 +130,19 @@ class Query:
 
     @legal(INITIAL, FILTERED)
     def order_by(self, key: Expression) -> Query:
-        return self._by(key, True, False)
+        return self._reordered(key, True) or self._by(key, True, False)
 
     @legal(INITIAL, FILTERED)
     def order_by_descending(self, key: Expression) -> Query:
         """Ties keep the order from before."""
-        return self._by(key, False, False)
+        return self._reordered(key, False) or self._by(key, False, False)
+
+    def _reordered(self, key: Expression, ascending: bool) -> Query | None:
+        """After distinct, a sort by the only column leaves no ties, so nothing is left of the order from before."""
+        if self._bag is None or not isinstance(key, str) or self.columns != [key]:
+            return None
+        name = f"{HIDDEN}0"
+        return self._to(self._bag.withColumn(name, F.col(f"`{key}`")), Order((Key(name, ascending),)), SORTED)
 
     def then_by(self, key: Expression) -> Query:
         return self._then(key, True)
@@ -173,7 +184,9 @@ class Query:
     @legal(INITIAL, FILTERED, SORTED)
     def distinct(self) -> Query:
         """The first of equal elements."""
-        return self._first_by([F.col(f"`{c}`") for c in self.columns])
+        out = self._first_by([F.col(f"`{c}`") for c in self.columns])
+        out._bag = self.to_df().distinct()
+        return out
 
     @legal(INITIAL, FILTERED, SORTED)
     def distinct_by(self, *keys: Expression) -> Query:
@@ -183,11 +196,11 @@ class Query:
     def _first_by(self, keys: list[Column]) -> Query:
         if self._df.isStreaming:
             raise InvalidStateError("a stream has no first element")
-        row = F.struct(*(F.col(f"`{c}`") for c in self._df.columns))
-        # an aggregate with partial sums: at most one row a key leaves a task
+        # an aggregate with partial sums: at most one row a key leaves a task; columns that no later step uses are pruned
         names = {f"{HIDDEN}k{i}": k for i, k in enumerate(keys)}
-        found = self._df.withColumns(names).groupBy(*names).agg(F.min_by(row, rank(self._order, self._df)).alias("row"))
-        return self._to(found.select("row.*"), self._order.settled(), FILTERED)
+        first = rank(self._order, self._df)
+        found = self._df.withColumns(names).groupBy(*names).agg(*(F.min_by(f"`{c}`", first).alias(c) for c in self._df.columns))
+        return self._to(found.drop(*names), self._order.settled(), FILTERED)
 
     # --- positions
 
@@ -228,7 +241,7 @@ class Query:
     # --- terminals
 
     def _value(self, value: Column, name: str, lazy: bool):
-        out = self._df.agg(value.alias(name))
+        out = (self._df if self._bag is None else self._bag).agg(value.alias(name))
         return out if lazy else out.first()[0]
 
     def count(self, lazy: bool = False):
@@ -251,14 +264,17 @@ class Query:
 
     def min_by(self, key: Expression, lazy: bool = False):
         """The first of the elements with the least key."""
-        return self._row(F.min_by(self.item, F.struct(column_of(key), rank(self._order, self._df))), lazy)
+        return self._row(F.min_by, key, lazy)
 
     def max_by(self, key: Expression, lazy: bool = False):
         """The last of the elements with the greatest key."""
-        return self._row(F.max_by(self.item, F.struct(column_of(key), rank(self._order, self._df))), lazy)
+        return self._row(F.max_by, key, lazy)
 
-    def _row(self, value: Column, lazy: bool):
-        out = self._df.agg(value.alias("row")).filter("row is not null").select("row.*")
+    def _row(self, by: Callable[[str, Column], Column], key: Expression, lazy: bool):
+        """The element that an aggregate chooses, column by column, so those that no later step uses are pruned."""
+        at = F.struct(column_of(key), rank(self._order, self._df))
+        some = f"{HIDDEN}some"
+        out = self._df.agg(F.count(F.lit(1)).alias(some), *(by(f"`{c}`", at).alias(c) for c in self.columns)).filter(f"{some} > 0").drop(some)
         return out if lazy else out.first()
 
     def first(self, lazy: bool = False):

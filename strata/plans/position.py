@@ -2,8 +2,9 @@
 
 ``scalable`` sorts by range partitions, numbers each partition's rows on its own and adds what lies before the
 partition: one row a partition is summed up and joined back. The sorted frame is persisted, so both uses see the same
-partitions; if an executor is lost, its partitions are made again from the same shuffle. ``simple`` is one global
-window, exact but in one task; it suits small frames.
+partitions; if an executor is lost, its partitions are made again from the same shuffle. It is held until
+``release`` is called, as frames derived from it may run at any time. ``simple`` is one global window, exact but in one
+task; it suits small frames.
 """
 
 from __future__ import annotations
@@ -16,6 +17,15 @@ from pyspark.sql import functions as F
 from strata.errors import InvalidQueryError, InvalidStateError
 
 ROW_BITS = 33  # of monotonically_increasing_id
+HELD: list[DataFrame] = []
+
+
+def release() -> int:
+    """Lets go of all sorted frames that are held, and says how many; frames derived from them must not run afterwards."""
+    n = len(HELD)
+    while HELD:
+        HELD.pop().unpersist()
+    return n
 
 
 def dense_index(df: DataFrame, order: list[Column], name: str, strategy: str = "scalable") -> DataFrame:
@@ -28,6 +38,7 @@ def dense_index(df: DataFrame, order: list[Column], name: str, strategy: str = "
         raise InvalidQueryError(f"unknown strategy {strategy}")
     raw, part, before = f"{name}__raw", f"{name}__part", f"{name}__before"
     held = df.orderBy(*order).withColumn(raw, F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    HELD.append(held)
     counts = held.groupBy(F.shiftright(raw, ROW_BITS).alias(part)).agg(F.count("*").alias("n"))
     # as many rows as partitions
     starts = counts.select(part, F.coalesce(F.sum("n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(before))

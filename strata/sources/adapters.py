@@ -8,7 +8,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.errors import TypeMismatchError
+from strata.errors import IteratorExhaustedError, TypeMismatchError
 from strata.operators.query import Query
 
 
@@ -21,8 +21,21 @@ def from_jdbc(spark: SparkSession, url: str, table: str, order_key: list[str] |
     return Query.from_df(spark.read.format("jdbc").options(url=url, dbtable=table, **options).load(), order_key)
 
 
+class Once:
+    """What can be read once only, such as a generator; a second read is an error."""
+
+    def __init__(self, items: Iterable):
+        self._items = items
+
+    def __iter__(self):
+        if self._items is None:
+            raise IteratorExhaustedError("this source was read already")
+        items, self._items = self._items, None
+        return iter(items)
+
+
 def as_query(spark: SparkSession, source, schema: str | None = None, **options) -> Query:
-    """A DataFrame, list, tuple, range, deque, set (ordered if ``sorted``) or pandas frame as a query in its order.
+    """A DataFrame, list, tuple, range, deque, set (ordered if ``sorted``), ``Once`` or pandas frame as a query in its order.
 
     Local collections are numbered and go to Spark once; the collection itself stays as it is.
     """
@@ -37,7 +50,7 @@ def as_query(spark: SparkSession, source, schema: str | None = None, **options)
         rows: Iterable = source.itertuples(index=False, name=None)
         if schema is None:  # pandas' types stay, for columns of nulls too
             schema = spark.createDataFrame(source.head(1)).schema.simpleString()[len("struct<") : -1] if len(source) else None
-    elif isinstance(source, (list, tuple, deque, set, frozenset)):
+    elif isinstance(source, (list, tuple, deque, set, frozenset, Once)):
         columns, rows = None, sorted(source) if isinstance(source, (set, frozenset)) and options.pop("sorted", True) else list(source)
         options.pop("sorted", None)
     else:

@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.errors import ExecutionError, InvalidQueryError
@@ -51,6 +51,17 @@ class Repository:
     def count_total(self) -> int:
         return self.df.count()
 
+    def name_index(self) -> DataFrame:
+        """(word, id): each lower-case word of each name, once; a table to write and to pass to ``search_by_name``."""
+        words = F.array_distinct(F.filter(F.split(F.lower(self.of("name")), r"\s+"), lambda w: w != ""))
+        return self.df.select(F.explode(words).alias("word"), self.of("id").alias("id"))
+
+    def search_by_name(self, term: str, index: DataFrame | None = None) -> DataFrame:
+        """The rows with a word in their name that contains the term, whatever its case."""
+        words = self.name_index() if index is None else index
+        hits = words.filter(F.contains("word", F.lit(term.lower()))).select(F.col("id").alias("hit")).distinct()
+        return self.df.join(hits, self.of("id") == F.col("hit"), "left_semi")
+
     def find_all(self, page: int = 1, limit: int = 20) -> Page:
         return self.search(page=page, limit=limit)
 
@@ -144,6 +155,58 @@ class Repository:
         return Repository(self.df.filter(~F.coalesce(self.of("id") == value, F.lit(False))), **self.names)
 
 
+class StoredRepository(Repository):
+    """A repository whose writes reach a table: each write is a new version in a folder of its own.
+
+    A version counts once Spark has committed it (``_SUCCESS``), so a failed write changes nothing and readers see the
+    version from before until then. The version before the last one stays for readers that hold it; older ones go. One
+    writer at a time: writers that race would each build on the version that they saw.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, **names: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        versions = self._versions()
+        if not versions:
+            raise ExecutionError(f"no table at {path}; make one with StoredRepository.create")
+        super().__init__(spark.read.parquet(f"{self.path}/{versions[-1]}"), **names)
+
+    @classmethod
+    def create(cls, df: DataFrame, path: str, **names: str) -> StoredRepository:
+        df.write.parquet(f"{path.rstrip('/')}/v00000000")
+        return cls(df.sparkSession, path, **names)
+
+    def _files(self):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return where, where(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[str]:
+        """The names of all committed versions, the last one last."""
+        where, files = self._files()
+        return sorted(f.getPath().getParent().getName() for f in files.globStatus(where(f"{self.path}/v*/_SUCCESS")) or [])
+
+    def _stored(self, changed: Repository) -> StoredRepository:
+        versions = self._versions()
+        changed.df.write.parquet(f"{self.path}/v{int(versions[-1][1:]) + 1:08}")
+        where, files = self._files()
+        for old in versions[:-1]:
+            files.delete(where(f"{self.path}/{old}"), True)
+        return StoredRepository(self.spark, self.path, **self.names)
+
+    def save(self, rows: DataFrame) -> StoredRepository:
+        return self._stored(super().save(rows))
+
+    save_batch = save
+
+    def update(self, value, **changes) -> StoredRepository:
+        return self._stored(super().update(value, **changes))
+
+    def update_last_login(self, value, at) -> StoredRepository:
+        return self.update(value, last_login_at=at)
+
+    def delete(self, value) -> StoredRepository:
+        return self._stored(super().delete(value))
+
+
 #: Rules of the parts of a user.
 MIN_PASSWORD_BYTES = 8
 

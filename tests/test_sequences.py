@@ -9,7 +9,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strata import InvalidQueryError, InvalidStateError, MeteredQuery, Metrics, TypeMismatchError, as_query
+from strata import InvalidQueryError, InvalidStateError, IteratorExhaustedError, MeteredQuery, Metrics, TypeMismatchError, as_query, from_parquet
+from strata.plans import position
+from strata.sources.adapters import Once
 
 FEW = settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
 PAIRS = st.lists(st.tuples(st.integers(0, 5), st.integers(-9, 9)), max_size=30)
@@ -129,3 +131,45 @@ def test_metered(spark):
     assert q.where_("value > 1").count() == 2 and q.where_("value > 2").collect() == [3] and q.count() == 3
     assert (metrics.get("query_numbers_count"), metrics.get("query_numbers"), metrics.get("query_none")) == (2, 1, None)
     assert metrics.durations("query_numbers_count")["total"] > 0
+
+
+def test_once(spark):
+    source = Once(x for x in (3, 1, 2))
+    assert as_query(spark, source).collect() == [3, 1, 2]
+    with pytest.raises(IteratorExhaustedError):
+        as_query(spark, source)
+
+
+def test_distinct_without_its_order(spark):
+    """A sort by the only column of distinct elements doesn't need the order from before; other sorts do."""
+    q = as_query(spark, [3, 1, 3, 2, 1])
+    assert q.distinct().order_by("value").collect() == [1, 2, 3] and q.distinct().order_by_descending("value").take(2).collect() == [3, 2]
+    assert q.distinct().collect() == [3, 1, 2] and q.distinct().order_by("value % 2").collect() == [2, 3, 1]
+    assert (q.distinct().count(), q.distinct().sum("value")) == (3, 6)
+
+
+@pytest.mark.parametrize(
+    ("call", "columns"),
+    [
+        (lambda q: q.min_by("o_orderpriority", lazy=True).select("o_orderkey"), {"o_orderkey", "o_orderpriority"}),
+        (lambda q: q.max_by("o_totalprice", lazy=True).select("o_orderkey"), {"o_orderkey", "o_totalprice"}),
+        (lambda q: q.order_by("o_totalprice").distinct_by("o_custkey").select("o_custkey").to_df(), {"o_custkey", "o_totalprice", "o_orderkey"}),
+        (lambda q: q.where_("true").select("o_orderstatus").distinct().to_df(), {"o_orderstatus"}),
+        (lambda q: q.where_("true").select("o_custkey").distinct().order_by("o_custkey").take(3).sum("o_custkey", lazy=True), {"o_custkey"}),
+        (lambda q: q.where_("true").select("o_custkey", "o_orderkey").group_by("o_custkey"), {"o_custkey", "o_orderkey"}),
+    ],
+)
+def test_scans_read_only_what_is_used(spark, call, columns):
+    import re
+
+    df = call(from_parquet(spark, "/root/testdata/sf0.001/orders.parquet", ["o_orderkey"]))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    assert schemas and all({x.split(":")[0] for x in s.split(",")} <= columns for s in schemas)
+
+
+def test_sorted_frames_are_released(spark):
+    q = as_query(spark, range(100))
+    q.enumerate().collect()
+    assert position.release() >= 1 and not position.HELD
+    assert [r[0] for r in as_query(spark, [5, 6]).enumerate().collect()] == [0, 1]

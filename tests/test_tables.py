@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata import ExecutionError, InvalidQueryError, InvalidStateError
-from strata.sources.repository import Repository, invalid_rows, page_info
+from strata.sources.adapters import from_jdbc
+from strata.sources.repository import Repository, StoredRepository, invalid_rows, page_info
 from strata.sources.sinks import export, read_log, write_log
 from strata.streaming.streams import each_batch, stream_parquet, windowed_counts, write_stream
 
@@ -81,3 +82,43 @@ def test_streams(spark, tmp_path):
     seen = []
     each_batch(windowed_counts(q, "ts", "6 hours", "kind"), lambda df, _: seen.extend(df.collect()), str(tmp_path / "c2")).awaitTermination()
     assert seen and all(r["n"] == 3 for r in seen)
+
+
+def test_stored_writes(spark, users, tmp_path):
+    """Each write is a new version that others see; a write that fails changes nothing."""
+    path = str(tmp_path / "users")
+    stored = StoredRepository.create(users.df, path)
+    new = spark.createDataFrame([("d", "d@x.org", "Dee", None, when(5), None)], SCHEMA)
+    held = stored.df
+    assert stored.save(new).count_total() == 4 == StoredRepository(spark, path).count_total() and held.count() == 3
+    with pytest.raises(ExecutionError):
+        StoredRepository(spark, path).save(new)
+    StoredRepository(spark, path).update("d", name="Eve").update_last_login("d", when(9)).delete("a")
+    rows = {r["id"]: r for r in StoredRepository(spark, path).df.collect()}
+    assert sorted(rows) == ["b", "c", "d"] and rows["d"]["name"] == "Eve" and rows["d"]["last_login_at"] == when(9)
+    assert len(list((tmp_path / "users").glob("v*"))) == 2  # the last version and the one before it
+    with pytest.raises(ExecutionError):
+        StoredRepository(spark, str(tmp_path / "nowhere"))
+
+
+def test_name_index(spark, users):
+    users.name_index().write.mode("overwrite").saveAsTable("name_index")
+    index = spark.table("name_index")
+    assert {r["word"] for r in index.collect()} == {"ann", "bob", "cid"}
+    assert [r["id"] for r in users.search_by_name("N", index).collect()] == ["a"] and users.search_by_name("zz").count() == 0
+    spark.sql("DROP TABLE name_index")
+
+
+def test_age_filter(spark):
+    rows = [("a", datetime.date(2000, 6, 15)), ("b", datetime.date(2000, 6, 16)), ("c", None), ("d", datetime.date(1950, 1, 1))]
+    r = Repository(spark.createDataFrame(rows, "id string, birth_date date"))
+    assert [x["id"] for x in r.filtered(age_range=(24, 30), today="2024-06-15").collect()] == ["a"]
+    assert [x["id"] for x in r.filtered(age_range=(23, 24), today="2024-06-15").orderBy("id").collect()] == ["a", "b"]
+
+
+def test_jdbc(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.createDataFrame([(2, "b"), (1, "a"), (3, "c")], "id int, name string")
+    rows.write.format("jdbc").options(url=url, dbtable="people", driver="org.apache.derby.jdbc.EmbeddedDriver").save()
+    q = from_jdbc(spark, url, "people", ["id"], driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert [tuple(r) for r in q.where_("id > 1").collect()] == [(2, "b"), (3, "c")]
