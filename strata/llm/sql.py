@@ -90,8 +90,10 @@ DECONTAMINATION = f"""
 WITH items AS (SELECT item_id, w, least(13, len(w)) AS size FROM (SELECT item_id, {WORDS.format("text")} AS w FROM benchmark) WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS line FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM items)),
 rows AS (SELECT row_number() OVER () AS row_no, doc_id, {WORDS.format("text")} AS w FROM documents),
-places AS (SELECT row_no, i, size, array_to_string(w[i:i + size - 1], ' ') AS line FROM (
-    SELECT row_no, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM rows, (SELECT DISTINCT size FROM windows))),
+words_at AS (SELECT row_no, generate_subscripts(w, 1) AS i, unnest(w) AS word, len(w) AS n FROM rows),
+places AS (SELECT * FROM (
+    SELECT row_no, i, size, n, string_agg(word, ' ') OVER (PARTITION BY row_no, size ORDER BY i ROWS BETWEEN CURRENT ROW AND size - 1 FOLLOWING) AS line
+    FROM words_at, (SELECT DISTINCT size FROM windows)) WHERE i + size - 1 <= n),
 hits AS (SELECT row_no, i, size, item_id FROM places JOIN windows USING (size, line)),
 words AS (SELECT row_no, count(DISTINCT place) AS n_hit FROM (SELECT row_no, unnest(range(i, i + size)) AS place FROM hits) GROUP BY row_no),
 found AS (SELECT row_no, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY row_no)
